@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidelog.llm import line_dedup
+from tidelog.llm import decontamination, line_dedup
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 
 SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
 }
