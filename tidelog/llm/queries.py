@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, line_dedup
+from tidelog.llm import decontamination, language_id, line_dedup
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
 }
