@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, language_id, line_dedup
+from tidelog.llm import decontamination, language_id, line_dedup, minhash
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op2_language_id": language_id.op2_language_id,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
 }
 
 SQL = {
+    "op1_minhash": minhash.OP1_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
 }
