@@ -11,19 +11,24 @@ from tidelog.llm.runtime import cut
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of ``edges`` (a, b); component is the least node reachable.
 
-    In each round every node is hooked to its least neighbour, paths are halved
-    twice, and the edges are renamed to what their ends hang on; edges within a
-    component then vanish. Rounds grow with the logarithm of the longest path. Only
-    map-side aggregated minima and joins that Spark may split are used.
+    In each round every node is hooked to its least neighbour, pointers are doubled
+    until all show the roots of the trees so made, and the edges are renamed to the
+    roots; edges within a tree then vanish, and every node that still has an edge has
+    been merged with another. So rounds, and doublings in a round, grow with the
+    logarithm of the nodes. Only map-side aggregated minima and joins that Spark may
+    split are used.
     """
     live = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     labels = cut(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("component", F.col("node")))
     while not live.isEmpty():
         both = live.union(live.select("b", "a")).toDF("node", "other")
         hook = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("to")))
-        for _ in range(2):
+        while True:
             up = hook.select(F.col("node").alias("to"), F.col("to").alias("above"))
-            hook = cut(hook.join(up, "to", "left").select("node", F.coalesce("above", "to").alias("to")))
+            doubled = cut(hook.join(up, "to").select("node", "above", (F.col("above") != F.col("to")).alias("moved")))
+            hook = doubled.select("node", F.col("above").alias("to"))
+            if doubled.filter("moved").isEmpty():
+                break
         moved = hook.select(F.col("node").alias("component"), "to")
         labels = cut(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         for end in ("a", "b"):
