@@ -11,7 +11,8 @@ Steps, each a DataFrame:
 2. Equal sets are one class, with the least doc_id for a name. Copies are never paired.
 3. Classes that share a band key are candidates. A band's members are dealt to tasks
    by pairs of blocks of about ``BLOCK`` members, so that no task holds a large bucket.
-   Signatures are compared batch by batch of ``BATCH`` minima; a pair is pruned as soon
+   A pair is looked at in the first band that it shares (told by 32 bits of each band
+   key). Signatures are compared batch by batch of ``BATCH`` minima; a pair is pruned as soon
    as the posterior probability that it reaches the threshold is below ``MISS``.
 4. Of the pairs that stay, a task gives a spanning forest, likeliest pairs first,
    never all pairs of a group. They are verified on the full shingle sets.
@@ -20,7 +21,7 @@ Steps, each a DataFrame:
    two stated probabilities (no shared band, pruned).
 
 Chances at a similarity of exactly 0.85: no band shared (1 - 0.85^5)^40 < 1e-10;
-pruned: MISS for each batch. At 0.8: 1.3e-7.
+pruned: MISS for each batch; a band taken for shared: 40 / 2^32. At 0.8: 1.3e-7 for bands.
 
 Defined cases: null and empty texts, and texts of blanks, have an empty set, are linked
 with nothing, and are their own component; repeated rows of one document share its
@@ -100,7 +101,9 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 bands = pa.ListArray.from_arrays(
                     pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).reshape(-1))
                 )
-                small = np.ascontiguousarray((low & np.uint32(255)).astype(np.uint8).T)
+                small = np.concatenate(
+                    [(low & np.uint32(255)).astype(np.uint8).T, (keys & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8)], axis=1
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, n),
@@ -158,16 +161,19 @@ def _root(up: dict, x):
     return x
 
 
-def _task_pairs(ids, labels, blocks, signatures, one_block: bool, needed: list[int], all_pairs: bool) -> list[tuple]:
+def _task_pairs(ids, labels, blocks, signatures, band: int, one_block: bool, needed: list[int], all_pairs: bool) -> list[tuple]:
     """Candidate pairs of one task: (a, b) by id. ``labels``: the component so far."""
     order = np.lexsort((ids, blocks))
     ids, labels, blocks, signatures = ids[order], labels[order], blocks[order], signatures[order]
     n = len(ids)
     split = n if one_block else int(np.searchsorted(blocks, blocks[-1]))
     found = []
+    marks = np.ascontiguousarray(signatures[:, HASHES:]).view("<u4")
     for i in range(n if one_block else split):
         others = np.arange(i + 1 if one_block else split, n)
         others = others[labels[others] != labels[i]]
+        if band and len(others):  # a pair belongs to the first band that it shares
+            others = others[~(marks[others, :band] == marks[i, :band]).any(axis=1)]
         if len(others):
             found.append(staying_pairs(signatures, np.full(len(others), i), others, needed))
     if not found:
@@ -185,7 +191,7 @@ def _task_pairs(ids, labels, blocks, signatures, one_block: bool, needed: list[i
 
 
 def candidate_pairs(members: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """(a, b), a < b, distinct, of members (key, lo, hi, block, node, label, signature) dealt by (key, lo, hi)."""
+    """(a, b), a < b, distinct, of members (key, band, lo, hi, block, node, label, signature) dealt by (key, lo, hi)."""
     needed = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +208,14 @@ def candidate_pairs(members: DataFrame, percent: int, all_pairs: bool) -> DataFr
             yield from compare(rest, np.zeros(0, dtype=np.int64))
 
     def compare(rows: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, labels, blocks, lo, hi = (rows.column(c).to_numpy() for c in ("node", "label", "block", "lo", "hi"))
+        ids, labels, blocks, band, lo, hi = (rows.column(c).to_numpy() for c in ("node", "label", "block", "band", "lo", "hi"))
         raw = b"".join(rows.column("signature").to_pylist())
-        signatures = np.frombuffer(raw, dtype=np.uint8).reshape(len(ids), HASHES)
+        signatures = np.frombuffer(raw, dtype=np.uint8).reshape(len(ids), HASHES + 4 * BANDS)
         pairs: set[tuple] = set()
         cuts = [0, *edges.tolist(), len(ids)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1 and (lo[a] == hi[a] or blocks[a:b].min() != blocks[a:b].max()):
-                pairs.update(_task_pairs(ids[a:b], labels[a:b], blocks[a:b], signatures[a:b], lo[a] == hi[a], needed, all_pairs))
+                pairs.update(_task_pairs(ids[a:b], labels[a:b], blocks[a:b], signatures[a:b], int(band[a]), lo[a] == hi[a], needed, all_pairs))
         if pairs:
             both = np.array(sorted(pairs), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], ["a", "b"])
@@ -260,11 +266,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     classes = cut(held.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")))
 
     chosen = held.join(classes.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id"])
-    spread = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    spread = chosen.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
     shared = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = cut(
-        spread.join(shared, "key").select("key", "node", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        spread.join(shared, "key").select("key", "band", "node", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     )
     involved = cut(members.select("node").distinct())
     near = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
@@ -273,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     dealt = members.withColumn("other", other).select(
-        "key", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+        "key", "band", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
 
     def links(labels: DataFrame, all_pairs: bool) -> DataFrame:
