@@ -263,12 +263,11 @@ class Encoder:
         counts = np.bincount(pc.list_parent_indices(lists).to_numpy(), minlength=len(lists))
         ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(found) + 1]  # the pieces stand one after the other
         offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), found.buffers()[2]])
-        texts = pc.if_else(lists.is_null(), None, pc.binary_slice(whole, 1))
-        try:
-            return texts.cast(pa.string())
-        except pa.ArrowInvalid:  # bytes that are no UTF-8, from ids that no text gives
-            return pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+        offsets, null = offsets.tolist(), lists.is_null().to_pylist()
+        raw = found.buffers()[2].to_pybytes() if offsets[-1] else b""
+        return pa.array(
+            [None if null[i] else raw[offsets[i] + 1 : offsets[i + 1]].decode("utf-8", "replace") for i in range(len(lists))], pa.string()
+        )
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
