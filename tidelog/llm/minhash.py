@@ -303,11 +303,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """The rows of docs of one document of each component: that of the least doc_id, once."""
-    named = near_duplicates(docs, percent, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = named.select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    return rows.dropDuplicates(["doc_id"])
+    """The rows of docs of one document of each component: that of the least doc_id, once.
+
+    Rows without a doc_id are all kept.
+    """
+    held = docs.filter("doc_id is not null")
+    keep = near_duplicates(held, percent, width).filter("doc_id = component_id").select("doc_id").distinct()
+    return held.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
