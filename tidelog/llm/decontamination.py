@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import table
+from tidelog.llm.runtime import map_in_arrow, table
 from tidelog.llm.textkit import ALNUM, Words, slices
 
 WINDOW = 8
@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
                         part = part.set_column(k, part.schema.field(k), pa.array(values, part.schema.field(k).type))
                     yield part
 
-        out = out.mapInArrow(walk, schema)
+        out = map_in_arrow(out, walk, schema)
     return out
 
 
@@ -311,7 +311,7 @@ def decontaminate(
             columns = [texts if c == "text" else batch.column(c) for c in names] + [pa.array(removed)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_removed"])
 
-    return kept.mapInArrow(cut, schema)
+    return map_in_arrow(kept, cut, schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

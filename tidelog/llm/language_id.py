@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import table
+from tidelog.llm.runtime import map_in_arrow, table
 
 SAMPLE_DOCS = 400
 SAMPLE_TEXT_BYTES = 32768
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 batch = batch.set_column(at, batch.schema.field(at), pa.array([f[k] for f in found], batch.schema.field(at).type))
             yield batch
 
-    return out.mapInArrow(run, out.schema)
+    return map_in_arrow(out, run, out.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

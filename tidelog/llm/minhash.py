@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import connected_components
-from tidelog.llm.runtime import cut, table
+from tidelog.llm.runtime import cut, map_in_arrow, table
 from tidelog.llm.textkit import NOT_BLANK, Words, mix, shingles, slices
 
 WIDTH = 5
@@ -118,7 +118,7 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, signature binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def least_matches(percent: int, miss: float = MISS) -> list[int]:
@@ -221,7 +221,7 @@ def candidate_pairs(members: DataFrame, percent: int, all_pairs: bool) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], ["a", "b"])
 
     dealt = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_in_arrow(dealt, run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "second")
-    return ordered.mapInArrow(run, "a long, b long")
+    return map_in_arrow(ordered, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:

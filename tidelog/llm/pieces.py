@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import table
+from tidelog.llm.runtime import map_in_arrow, table
 from tidelog.llm.textkit import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -295,7 +295,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     part = part.set_column(k, part.schema.field(k), values.cast(part.schema.field(k).type))
                 yield part
 
-    return out.mapInArrow(run, out.schema)
+    return map_in_arrow(out, run, out.schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, to: str = "decoded") -> DataFrame:
@@ -312,7 +312,7 @@ def decode(encoded: DataFrame, model: str = MODEL, to: str = "decoded") -> DataF
                 texts = encoder.decode_all(part.column("ids"))
                 yield part.set_column(k, part.schema.field(k), texts)
 
-    return out.mapInArrow(run, out.schema)
+    return map_in_arrow(out, run, out.schema)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

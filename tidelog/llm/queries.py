@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, language_id, line_dedup, minhash, pieces
+from tidelog.llm import decontamination, language_id, line_dedup, minhash, pieces, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_language_id": language_id.op2_language_id,
     "op4_pieces": pieces.op4_pieces,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
 }
 

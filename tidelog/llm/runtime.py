@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,23 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_tidelog_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="tidelog-ship-")) / "tidelog-package.zip"
+    with zipfile.ZipFile(to, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(to))
+    context._tidelog_shipped = True
+
+
+def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
