@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, language_id, line_dedup, minhash, pieces, toxicity
+from tidelog.llm import decontamination, language_id, line_dedup, minhash, neighbours, pieces, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 
 SQL = {
