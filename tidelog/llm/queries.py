@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, language_id, line_dedup, minhash, neighbours, pieces, toxicity
+from tidelog.llm import decontamination, language_id, line_dedup, minhash, neighbours, pieces, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_language_id": language_id.op2_language_id,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_pieces": pieces.op4_pieces,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
