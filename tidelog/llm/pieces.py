@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 OWN_MARK = "﷐"  # stands for a marker of the text itself; a noncharacter, never a piece
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 150_000
 SHORT = 32
 DECODE_ROWS = 256
 MAX_PIECES = 2_000_000
@@ -294,6 +294,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     k = part.schema.get_field_index(name)
                     part = part.set_column(k, part.schema.field(k), values.cast(part.schema.field(k).type))
                 yield part
+        encoder.cache.clear()
 
     return map_in_arrow(out, run, out.schema)
 

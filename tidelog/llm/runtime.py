@@ -55,7 +55,31 @@ def ship(spark: SparkSession) -> None:
     context._tidelog_shipped = True
 
 
+def tidy() -> None:
+    """Give memory that is free in this process back to the system; Python workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors."""
+    """``df.mapInArrow`` with this package on the executors, which free their memory after each batch."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                tidy()
+
+        yield from function(each())
+        tidy()
+
+    return df.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -31,6 +31,22 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_known_powers: dict[int, np.ndarray] = {}
+
+
+def _powers(factor: np.uint64, n: int) -> np.ndarray:
+    """factor**0 ... factor**(n - 1) modulo 2**64; those for usual lengths are made once."""
+    size = max(n, 2 * SLICE_BYTES + 1)
+    found = _known_powers.get(int(factor))
+    if found is None or len(found) < n:
+        found = np.full(size, factor, dtype=np.uint64)
+        found[0] = 1
+        np.cumprod(found, out=found)
+        if size == 2 * SLICE_BYTES + 1:
+            _known_powers[int(factor)] = found
+    return found[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (a finaliser of two rounds)."""
     x = x ^ (x >> np.uint64(32))
@@ -92,14 +108,11 @@ class Words:
                 base = int(self.start[a])
                 b = max(a + 1, int(np.searchsorted(self.end, base + 2 * SLICE_BYTES, side="right")))
                 part = self.raw[base : int(self.end[b - 1])]
-                powers = np.full(len(part) + 1, _BASE, dtype=np.uint64)
-                powers[0] = 1
-                powers = np.cumprod(powers)
                 sums = np.zeros(len(part) + 1, dtype=np.uint64)
-                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-                back = np.full(len(part) + 1, _INVERSE, dtype=np.uint64)
-                back[0] = 1
-                back = np.cumprod(back)
+                np.add(part, np.uint64(1), out=sums[1:], casting="unsafe")
+                sums[1:] *= _powers(_BASE, len(part))
+                np.cumsum(sums, out=sums)
+                back = _powers(_INVERSE, len(part))
                 s, e = self.start[a:b] - base, self.end[a:b] - base
                 out[a:b] = mix((sums[e] - sums[s]) * back[s])
                 a = b
