@@ -57,7 +57,7 @@ def labelled(n=900):
 
 def test_held_out_accuracy(spark):
     docs = spark.createDataFrame(labelled(), "doc_id long, text string, toxic int")
-    g = X.train(docs.filter(~X.held_out(F.col("doc_id"))))
+    g = X.train(docs, docs.filter(~X.held_out(F.col("doc_id"))).select("doc_id", "toxic"))
     rows = X.score(docs, g).withColumn("held", X.held_out(F.col("doc_id"))).collect()
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held]
@@ -70,5 +70,5 @@ def test_defined_cases(spark):
     rows = sorted(X.score(docs, grammar("fool")).collect(), key=lambda r: r.doc_id)
     assert rows[0].score == rows[1].score < 0.5 < rows[2].score == rows[3].score
     assert X.score(docs.filter("false"), grammar("fool")).count() == 0
-    none = X.train(docs.withColumn("toxic", F.lit(None).cast("int")))
+    none = X.train(docs, docs.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     assert np.allclose(none.weights, list(X.KINDS.values())) and not none.strength

@@ -267,18 +267,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
-    """From (doc_id, text, toxic), on the bounded sample that the module names."""
-    usable = labelled.filter(F.col("toxic").isin(0, 1) & F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
+    """From docs (doc_id, text) and labels (doc_id, toxic), on the bounded sample that the module names.
+
+    The sample is drawn from the labels, so that only its documents' texts move.
+    """
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isin(0, 1))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Grammar({})
     steps = 1 << 24
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(steps, int(steps * sample_docs / n) + 1))])
-    rows = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share[F.col("toxic")]).select("text", "toxic").collect()
+    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share[F.col("toxic")])
+    usable = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
+    rows = usable.join(F.broadcast(sample), "doc_id").select("text", "toxic").collect()
     rows = sorted({(r["text"], r["toxic"]) for r in rows})
     texts, toxic = [t for t, _ in rows], np.array([y == 1 for _, y in rows])
     found = Grammar(learn_stems([t for t, y in rows if y == 1], [t for t, y in rows if y == 0]))
+    if not rows:
+        return found
     features = np.concatenate([found.features(pa.array(texts[a : a + 256], pa.string())) for a in range(0, len(texts), 256)])
     found.weights, found.bias = fit(features, toxic.astype(float))
     return found
@@ -301,7 +308,7 @@ def score(docs: DataFrame, grammar: Grammar, to: str = "score") -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    found = train(docs.join(labels, "doc_id").filter(~held_out(F.col("doc_id"))))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    found = train(docs, labels.filter(~held_out(F.col("doc_id"))))
     out = score(docs, found)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT_OFF).cast("int").alias("predicted"))
