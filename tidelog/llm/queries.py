@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, language_id, line_dedup, minhash, neighbours, pieces, toxicity, url_filter, warc
+from tidelog.llm import decontamination, language_id, licenses, line_dedup, minhash, neighbours, pieces, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_pieces": pieces.op4_pieces,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
