@@ -8,3 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read ``<sf_dir>/<name>.parquet``; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def export_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Write columns in a fixed order as tab-separated files without a header."""
+    df.select(*columns).write.csv(path, sep="\t", header=False, mode="overwrite")
+
+
+def compact(df: DataFrame, path: str, order: list[str], max_records: int = 5_000_000) -> None:
+    """Rewrite a table in few, sorted, compressed files, so that bounds on ``order`` skip row groups."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").option(
+        "maxRecordsPerFile", max_records
+    ).parquet(path, mode="overwrite")
