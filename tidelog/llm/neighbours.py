@@ -35,12 +35,14 @@ from tidelog.llm.runtime import cut, map_in_arrow, table
 
 K = 20
 SAMPLE = 20_000
-BRANCH = 8
-LEAF = 48
+BRANCH = 4
+LEAF = 128
 RECALL = 0.97
 PROBES = 300
 BLOCK = 4096
 QUERY_BLOCK = 1024
+PAIRS = 65_536  # pairs of a block that are scored at once
+HELD = 400_000  # results that a task holds back to keep the best of them
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -221,24 +223,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RE
         "leaf", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("vb"), hashed(F.col("nq"), 2).alias("qb"), F.lit(0).alias("part"), "vec_id", "embedding"
     )
 
-    def best(query_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
+    def best(query_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query, candidate, score) arrays of at least the k best candidates of each query in a block."""
         ids, first = np.unique(ids, return_index=True)
         own = own[first]
         query_ids, first = np.unique(query_ids, return_index=True)
         asked = asked[first]
-        rough = asked @ own.T
-        for i, q in enumerate(query_ids.tolist()):
-            line = rough[i]
-            line[ids == q] = -np.inf
-            m = min(k, len(ids))
-            edge = np.partition(line, len(line) - m)[len(line) - m]
-            at = np.flatnonzero((line >= edge - 1e-9 * (1 + abs(edge))) & (line > -np.inf)) if edge > -np.inf else np.flatnonzero(line > -np.inf)
-            exact = (own[at] * asked[i]).sum(axis=1)  # one way of adding for all, so that equal vectors tie
-            for j in np.lexsort((ids[at], -exact))[:k].tolist():
-                yield q, int(ids[at[j]]), float(exact[j])
+        m = min(k + 1, len(ids))  # one of them may be the query
+        step = max(1, PAIRS // len(ids))
+        for a in range(0, len(query_ids), step):
+            q = query_ids[a : a + step]
+            rough = asked[a : a + step] @ own.T
+            edge = np.partition(rough, len(ids) - m, axis=1)[:, len(ids) - m]
+            row, col = np.nonzero(rough >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
+            other = ids[col] != q[row]
+            row, col = row[other], col[other]
+            # one way of adding for all, so that equal vectors tie
+            yield q[row], ids[col], (own[col] * asked[a : a + step][row]).sum(axis=1)
+
+    def trimmed(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Of all that was found, the k best of each query."""
+        q, v, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((v, -score, q))
+        q, v, score = q[order], v[order], score[order]
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        return q[place < k], v[place < k], score[place < k]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, found, size = None, [], 0
         for batch in batches:
             more = pa.Table.from_batches([batch])
             rest = more if rest is None else pa.concat_tables([rest, more])
@@ -246,22 +259,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RE
             edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
             cuts = [0, *edges.tolist()]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                yield from one(rest.slice(a, b - a))
+                for part in one(rest.slice(a, b - a)):
+                    found.append(part)
+                    size += len(part[0])
+                    if size > HELD:
+                        found = [trimmed(found)]
+                        size = len(found[0][0])
+                        if size > HELD // 2:
+                            yield out_of(found[0])
+                            found, size = [], 0
             rest = rest.slice(cuts[-1])
         if rest is not None and len(rest):
-            yield from one(rest)
+            found += one(rest)
+        if found:
+            yield out_of(trimmed(found))
+
+    def out_of(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["query_id", "vec_id", "score"])
 
-    def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def one(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         part, ids = rows.column("part").to_numpy(), rows.column("vec_id").to_numpy()
-        if part.min() == part.max():
-            return
-        matrix = _matrix(rows.column("embedding").combine_chunks())
-        found = list(best(ids[part == 0], matrix[part == 0], ids[part == 1], matrix[part == 1]))
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())],
-                ["query_id", "vec_id", "score"],
-            )
+        if part.min() < part.max():
+            matrix = _matrix(rows.column("embedding").combine_chunks())
+            yield from best(ids[part == 0], matrix[part == 0], ids[part == 1], matrix[part == 1])
 
     dealt = candidates.union(queries).repartition("leaf", "vb", "qb").sortWithinPartitions("leaf", "vb", "qb")
     pairs = map_in_arrow(dealt, compare, "query_id long, vec_id long, score double")
