@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.shipping import ship
+
 # Fixed values of the hash function: its multiplier and its default seeds.
 MULTIPLIER = 0x6EED0E9DA4D94A4F
 SEEDS = (0x16F11FE89B0D677C, 0xB480A793D8E6C86C, 0x6FE2E5AAF078EBC9, 0x14F994A4C5259381)
@@ -49,7 +51,7 @@ def seahash(value: Column) -> Column:
             out[some] = seahash_all([bytes(v) for v in values[some]]).view(np.int64)
         return out
 
-    hashed.func.__module__ = "__main__"  # shipped by value: executors need no copy of this package
+    ship(SparkSession.active())
     return hashed(value)
 
 
