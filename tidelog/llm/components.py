@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     roots; edges within a tree then vanish, and every node that still has an edge has
     been merged with another. So rounds, and doublings in a round, grow with the
     logarithm of the nodes. Only map-side aggregated minima and joins that Spark may
-    split are used.
+    split are used; none is broadcast, because many small relations in a row would
+    pass through the driver.
     """
     live = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     labels = cut(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("component", F.col("node")))
@@ -25,13 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hook = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("to")))
         while True:
             up = hook.select(F.col("node").alias("to"), F.col("to").alias("above"))
-            doubled = cut(hook.join(up, "to").select("node", "above", (F.col("above") != F.col("to")).alias("moved")))
+            doubled = cut(hook.join(up.hint("merge"), "to").select("node", "above", (F.col("above") != F.col("to")).alias("moved")))
             hook = doubled.select("node", F.col("above").alias("to"))
             if doubled.filter("moved").isEmpty():
                 break
         moved = hook.select(F.col("node").alias("component"), "to")
-        labels = cut(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        labels = cut(labels.join(moved.hint("merge"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         for end in ("a", "b"):
-            live = live.join(hook.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")), end)
+            live = live.join(hook.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")).hint("merge"), end)
         live = cut(live.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).filter("a <> b").distinct())
     return labels

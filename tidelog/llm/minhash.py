@@ -234,7 +234,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     roles = dealt.select("a", "salt", F.lit(False).alias("second"), F.col("a").alias("node")).distinct().union(
         dealt.select("a", "salt", F.lit(True), "b")
     )
-    rows = roles.join(texts, "node").select("a", "salt", "second", "node", "text")
+    rows = roles.join(texts.hint("merge"), "node").select("a", "salt", "second", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.zeros(0, dtype=np.uint64)
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     )
     involved = cut(members.select("node").distinct())
     near = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    signatures = held.select(F.col("doc_id").alias("node"), "signature").join(near, "node").dropDuplicates(["node"])
+    signatures = cut(held.select(F.col("doc_id").alias("node"), "signature").join(near, "node").dropDuplicates(["node"]))
     texts = cut(docs.select(F.col("doc_id").alias("node"), "text").join(near, "node").dropDuplicates(["node"]))
 
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
@@ -283,10 +283,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     )
 
     def links(labels: DataFrame, all_pairs: bool) -> DataFrame:
-        known = signatures.join(labels, "node", "left").select(
+        known = signatures.join(labels.hint("merge"), "node", "left").select(
             "node", "signature", F.coalesce("component", "node").alias("label")
         )
-        pairs = cut(candidate_pairs(dealt.join(known, "node"), percent, all_pairs))
+        pairs = cut(candidate_pairs(dealt.join(known.hint("merge"), "node"), percent, all_pairs))
         return cut(verified(pairs, texts, width, percent))
 
     none = involved.select("node", F.col("node").alias("component")).filter(F.lit(False))
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     across = links(connected_components(forest), all_pairs=True)
     components = connected_components(forest.union(across))
 
-    named = classes.join(components, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    named = classes.join(components.hint("merge"), "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     return (
         sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("f1")).alias("f1"), "f2")
         .join(named, ["f1", "f2"], "left")

@@ -25,9 +25,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    A checkpointed frame still carries the constraints of the plan that it came from.
+    Over the rounds of an iteration these multiply until planning takes longer than the
+    work, so the rows are taken up by a new frame that knows only their schema.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False)
+    return DataFrame(fresh, spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
