@@ -95,3 +95,18 @@ def test_ids_sort_and_pack(spark):
     assert frame.select(F.max(ids.tenant_of(ids.low_half(F.col("t"), F.col("f"), F.col("s"))) - F.col("t"))).first()[0] == 0
     a = frame.select(ids.archive_id(F.col("k"), F.col("t"), F.col("f"), F.lit(0x12345).cast("long")).alias("a"), "f").collect()
     assert all(r.a.flag == 1 - r.f and r.a.salt == 0x2345 for r in a)
+
+
+def test_type_identity():
+    a = hashing.struct_hash("Thing", "many", [("kind", "u32"), ("tag", "String")])
+    assert a == int(hashing.seahash_all([b"Thing|many|kind:u32|tag:String"])[0])
+    assert a != hashing.struct_hash("Thing", "many", [("kind", "u32"), ("tag", "str")])
+
+
+def test_native_order_is_the_order_of_encoded_keys(spark):
+    """Signed numbers, booleans and strings sort as their order-preserving bytes would."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), rng.random() < 0.5, "".join(rng.choice("aé漢Z") for _ in range(rng.randint(0, 4)))) for _ in range(80)]
+    encode = lambda r: (r[0] + (1 << 63)).to_bytes(8, "big") + bytes([r[1]]) + r[2].encode() + b"\0"
+    got = [tuple(r) for r in spark.createDataFrame(rows, "a long, b boolean, c string").orderBy("a", "b", "c").collect()]
+    assert got == sorted(rows, key=encode)

@@ -147,3 +147,24 @@ def test_registry():
         with pytest.raises(NotExposed):
             r.call(name, 1, login=login)
     assert r.identity("double") != r.identity("nothing")
+
+
+def test_minted_instants_rise_above_the_floor(spark):
+    import random
+
+    rng = random.Random(1)
+    clocks = [rng.randrange(60) for _ in range(40)]
+    rows = spark.createDataFrame([(1, i, c) for i, c in enumerate(clocks)], "tenant long, n long, clock long")
+    got = [r.instant for r in writes.mint_instants(rows, "clock", ["n"], F.lit(12).cast("long")).orderBy("n").collect()]
+    last, want = 12, []
+    for c in clocks:
+        last = max(c, last + 1)
+        want.append(last)
+    assert got == want
+
+
+def test_poll(spark):
+    rows = frame(spark, [("a", "saved", 1), ("b", "saved", 2), ("a", "removed", None)]).union(frame(spark, [("c", "saved", 5)], 2))
+    topics = spark.createDataFrame([(1, 2), (2, None), (3, 7)], "tenant long, since long")
+    assert [(r.tenant, r.kind, r.id) for r in changes.poll(rows, topics).collect()] == [(1, "removed", "a")]
+    assert {r.tenant: r.cursor for r in changes.poll_cursors(rows, topics).collect()} == {1: 3, 2: 1, 3: 7}

@@ -89,3 +89,14 @@ def shard(owner: Column, shards: int = DEFAULT_SHARDS) -> Column:
     h = seahash(owner)
     # 2**64 mod shards is added for hashes whose sign bit is set
     return F.pmod(F.pmod(h, F.lit(shards)) + F.when(h < 0, (1 << 64) % shards).otherwise(0), F.lit(shards)).cast("int")
+
+
+def lane(tag: str, struct_hash: Column) -> Column:
+    """The hash that names a lane of a type: its tag, then the type's hash."""
+    return seahash(F.concat(F.encode(F.lit(tag), "UTF-8"), _little_endian(struct_hash.cast("long"), 8)))
+
+
+def struct_hash(name: str, shape: str, fields: list[tuple[str, str]], seeds: tuple[int, int, int, int] = SEEDS) -> int:
+    """The identity of a record type: a change of any field is another type."""
+    spelled = "|".join([name, shape, *(f"{f}:{kind}" for f, kind in fields)])
+    return int(seahash_all([spelled.encode()], seeds)[0])

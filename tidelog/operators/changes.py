@@ -40,3 +40,22 @@ def unique_changes(log: DataFrame, since: DataFrame) -> DataFrame:
     last = get(log).drop("removed")
     lost = last.join(cursors.filter("_since is null"), KEY).filter(F.col("seq") > F.col("since_seq")).drop("_since", "since_seq")
     return follow.unionByName(lost)
+
+
+def poll(log: DataFrame, topics: DataFrame) -> DataFrame:
+    """One reply to many topics: changes of each tenant since the instant that its subscriber has seen.
+
+    topics: (tenant, since), one row each; a null since registers, and gets no events.
+    """
+    seen = topics.select("tenant", F.col("since").alias("_since"))
+    every = live(log).select("tenant", F.lit("saved").alias("kind"), "id", *ORDER).union(
+        effective_removals(log).select("tenant", F.lit("removed").alias("kind"), "id", *ORDER)
+    )
+    return every.join(seen, "tenant").filter(F.col("instant") > F.col("_since")).drop("_since")
+
+
+def poll_cursors(log: DataFrame, topics: DataFrame) -> DataFrame:
+    """The cursors that go with the reply: by tenant the newest instant, never below what was seen."""
+    took = log.filter("op = 'saved'").select(*KEY, *ORDER).union(effective_removals(log).select(*KEY, *ORDER))
+    top = took.groupBy("tenant").agg(F.max("instant").alias("_top"))
+    return topics.join(top, "tenant", "left").select("tenant", F.greatest("_top", "since").alias("cursor"))

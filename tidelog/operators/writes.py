@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.log import KEY, ORDER, at, get, latest
 
-__all__ = ["adopt", "conflicts", "key_mismatch", "missing", "overlay", "removals", "revivals", "upsert"]
+__all__ = ["adopt", "conflicts", "guarded_batch", "key_mismatch", "mint_instants", "missing", "overlay", "removals", "revivals", "upsert"]
 
 
 def overlay(base: DataFrame, staged: DataFrame, on: list[str]) -> DataFrame:
@@ -62,3 +62,15 @@ def adopt(log: DataFrame, arriving: DataFrame) -> DataFrame:
 def key_mismatch(rows: DataFrame, derived: Column, stored: str) -> DataFrame:
     """Rows saved under an id that their key fields do not give."""
     return rows.filter(~derived.eqNullSafe(F.col(stored)))
+
+
+def mint_instants(rows: DataFrame, clock: str, arrival: list[str], floor: Column, to: str = "instant") -> DataFrame:
+    """Rows with instants above the floor of their tenant, each the clock's or one more than the one before.
+
+    In order of arrival m(i) = max(clock(i), m(i - 1) + 1), m(0) = floor, which is
+    i + max(floor, max over j <= i of clock(j) - j): a running maximum.
+    """
+    order = Window.partitionBy("tenant").orderBy(*arrival)
+    numbered = rows.withColumn("_i", F.row_number().over(order).cast("long"))
+    ahead = F.max(F.col(clock) - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn(to, F.col("_i") + F.greatest(floor, ahead)).drop("_i")

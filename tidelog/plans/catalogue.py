@@ -246,6 +246,13 @@ def key_mismatch(spark, d):
     return writes.key_mismatch(rows, F.concat_ws("/", "p_brand", "p_name"), "stored").select("p_partkey")
 
 
+@query("""WITH c AS (SELECT o_orderkey, o_custkey % 16 AS tenant, o_orderkey * 3 % 1000 AS clock, row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderdate, o_orderkey) AS i FROM orders)
+SELECT o_orderkey, tenant, i + greatest(500, max(clock - i) OVER (PARTITION BY tenant ORDER BY i)) AS instant FROM c""")
+def mint_instants(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 16).alias("tenant"), (F.col("o_orderkey") * 3 % 1000).alias("clock"))
+    return writes.mint_instants(rows, "clock", ["o_orderdate", "o_orderkey"], F.lit(500).cast("long")).select("o_orderkey", "tenant", "instant")
+
+
 # projections, filters, orders
 
 
@@ -402,6 +409,27 @@ def changes_register(spark, d):
     return changes.register(event_log(spark, d))
 
 
+TOPICS = "topics AS (SELECT DISTINCT tenant, CASE WHEN tenant % 2 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' END AS since FROM log)"
+
+
+def _topics(rows):
+    return rows.select("tenant").distinct().withColumn("since", F.when(F.col("tenant") % 2 == 0, F.expr(T0)))
+
+
+@query(f"""WITH {LOG}, {TOPICS}, every AS (SELECT tenant, 'saved' AS kind, id, seq, instant FROM live UNION ALL SELECT tenant, 'removed', id, seq, instant FROM dead)
+SELECT e.tenant, e.kind, e.id, e.seq FROM every e JOIN topics t ON t.tenant = e.tenant WHERE e.instant > t.since""")
+def poll_sync(spark, d):
+    rows = event_log(spark, d)
+    return changes.poll(rows, _topics(rows)).select("tenant", "kind", "id", "seq")
+
+
+@query(f"""WITH {LOG}, took AS (SELECT tenant, instant, seq FROM log WHERE op = 'saved' UNION ALL SELECT tenant, instant, seq FROM dead)
+SELECT tenant, strftime(max(instant), '%Y-%m-%d %H:%M:%S') AS cursor FROM took GROUP BY tenant""")
+def poll_cursors(spark, d):
+    rows = event_log(spark, d)
+    return changes.poll_cursors(rows, _topics(rows)).select("tenant", F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("cursor"))
+
+
 # fuzzy search
 
 PLAIN = "".join(k * len(v) for k, v in text.FOLDS.items())
@@ -485,6 +513,16 @@ def placement_histogram(spark, d):
     return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def lane_hash(spark, d):
+    return table(spark, d, "customer").select("c_custkey", hashing.lane("recency", F.col("c_custkey")).alias("lane"))
+
+
+@query("SELECT c_custkey, sha256(c_name) AS token_sha256 FROM customer")
+def sha256_token(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.sha2("c_name", 256).alias("token_sha256"))
+
+
 # applications
 
 
