@@ -69,12 +69,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     firsts = ranged.withColumn("rank", F.rank().over(by_key)).withColumn("before", F.lag("doc_id").over(by_key)).filter(
         (F.col("rank") == 1) | ~F.col("before").eqNullSafe(F.col("doc_id"))
     )
-    repeated = (
-        firsts.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n_docs") >= min_docs)
-        .drop("n_docs")
-    )
+    counts = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+    # cut, so that the join shuffles both sides anew and Spark may split a key that very many documents hold
+    repeated = cut(counts.filter(F.col("n_docs") >= min_docs).drop("n_docs"))
     dropped = occurrences.drop("salt").join(repeated, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
     words = dropped.groupBy("doc_id", "tk", F.expr(f"cast(pos div {WORD} as int)").alias("word")).agg(
