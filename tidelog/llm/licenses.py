@@ -202,14 +202,13 @@ def inherit(scanned: DataFrame) -> DataFrame:
     givers = scanned.filter(F.col("_whole") & F.col("own_licence").isNotNull()).select(
         directory(F.col("path")).alias("_at"), F.struct(-F.col("score"), F.col("path").alias("path"), F.col("own_licence").alias("licence")).alias("g")
     )
-    given = givers.groupBy("_at").agg(F.min("g").alias("g"))
+    given = cut(givers.groupBy("_at").agg(F.min("g").alias("g")))
     places = scanned.filter("path is not null").select(directory(F.col("path")).alias("_dir")).distinct()
     parts = F.split("_dir", "/")
     above = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     nearest = (
         places.select("_dir", above.alias("_at"))
-        .distinct()
-        .join(given, "_at")
+        .join(given, "_at")  # very many directories share an ancestor: both sides are shuffled anew, so that Spark may split it
         .groupBy("_dir")
         .agg(F.max_by("g", F.length("_at")).alias("g"))
     )
