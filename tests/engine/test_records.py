@@ -70,6 +70,12 @@ def test_lists_pages_and_ranks(spark):
     assert [r.name for r in order.listed(rows, by, 1, 2).collect()] == ["bob", "carol"]
     assert order.listed(rows, by, 9).count() == 0 and order.listed(rows, by, 0, 0).count() == 0
     assert {r.name: r.n for r in order.ranked(rows, by).collect()} == {"dave": 1, "bob": 2, "carol": 3, "alice": 4}
+    many = spark.range(20000).select(((F.col("id") * 7919) % 20011).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    numbered = order.ranked(many, [F.asc("k")])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_key = [r.n for r in numbered.orderBy("k").select("n").collect()]
+    assert by_key == list(range(1, 20001))
     assert tuple(order.last_key(rows, ["city", "name"]).first()) == ("porto", "alice")
 
 

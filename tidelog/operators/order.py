@@ -2,7 +2,9 @@
 
 Every order ends with the id, so that it is total. ``ranked`` numbers rows without
 gathering them in one task: rows are range-partitioned by the order, and the counts of
-the partitions before are added to the number within the partition.
+the partitions before are added to the number within the partition. Range bounds come
+from a sample, so the partitioned rows are written once (``cut``): counting them in a
+second run could meet other bounds.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.lineage import cut
+
 
 @dataclass(frozen=True)
 class Bound:
@@ -74,7 +78,7 @@ def listed(rows: DataFrame, order: list[Column], offset: int = 0, limit: int | N
 
 def ranked(rows: DataFrame, order: list[Column], to: str = "n") -> DataFrame:
     """Rows with their number in the order, from 1."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     numbered = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"))
     before = F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.lineage import checkpoint_dir
+
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Rows of a Parquet log as they arrive, as (tenant, id, instant, seq, op)."""
@@ -53,7 +55,9 @@ def deduplicated(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
 def replay(spark: SparkSession, path: str, tenant: int | None = None) -> DataFrame:
     """Run a watch over all that a log holds now, and give what it shows at the end."""
     name = f"watch_{uuid.uuid4().hex}"
-    running = watch(stream_log(spark, path), tenant).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    at = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    shown = watch(stream_log(spark, path), tenant).writeStream.outputMode("complete").format("memory").queryName(name)
+    running = shown.option("checkpointLocation", at).trigger(availableNow=True).start()
     try:
         running.awaitTermination()
     finally:
