@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.lineage import checkpoint_dir, cut
 from tidelog.shipping import ship
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only without one (tests) set a local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = spark.sparkContext.getCheckpointDir()
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    if found is None:
-        found = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
-
-    A checkpointed frame still carries the constraints of the plan that it came from.
-    Over the rounds of an iteration these multiply until planning takes longer than the
-    work, so the rows are taken up by a new frame that knows only their schema.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    done = df.checkpoint(eager=True)._jdf
-    fresh = spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False)
-    return DataFrame(fresh, spark)
+__all__ = ["cut", "map_in_arrow", "store", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again: a cut that stays compressed and columnar."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
