@@ -3,7 +3,8 @@
 Texts are lower-cased, and what stands between letters becomes a space, for training
 and prediction alike. For every language a raw-content dictionary is laid out from
 labelled texts. A text is compressed with each dictionary, block by block, and the
-language that gives the fewest bytes is chosen. Where the runner-up is nearly as small, the choice is rejected.
+language that gives the fewest bytes is chosen. A text too short to be compressed alone
+is compressed behind the end of each dictionary, and the bytes that it adds count. Where the runner-up is nearly as small, the choice is rejected.
 
 Training reads a bounded sample: about ``SAMPLE_DOCS`` documents of each language,
 taken by a hash of doc_id below a threshold that follows from the language's count,
@@ -38,6 +39,8 @@ SAMPLE_TEXT_BYTES = 32768
 PIECE_BYTES = 1024
 DICT_BYTES = 65536
 BLOCK_BYTES = 8192
+SHORT_BYTES = 64  # below it zstandard stores a block as it is
+CONTEXT_BYTES = 300
 LEVEL = 5  # the first one that finds matches of four bytes
 MIN_MARGIN = 0.005
 UNKNOWN = "und"
@@ -89,9 +92,10 @@ def _layout(texts: list[str]) -> bytes:
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.languages = list(dictionaries)
-        self.compressors = []
+        self.compressors, self.contexts = [], []
         for content in dictionaries.values():
             content = content if len(content) >= 8 else content.ljust(8)
+            self.contexts.append(content[-CONTEXT_BYTES:] + b" ")
             shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             shared.precompute_compress(level=LEVEL)
             self.compressors.append(
@@ -100,6 +104,9 @@ class Classifier:
 
     def sizes(self, text: bytes) -> np.ndarray:
         """Compressed bytes by language, over all blocks of the text."""
+        if len(text) < SHORT_BYTES:
+            pairs = zip(self.compressors, self.contexts, strict=True)
+            return np.array([len(c.compress(before + text)) - len(c.compress(before)) for c, before in pairs], dtype=np.int64)
         out = np.zeros(len(self.languages), dtype=np.int64)
         for a in range(0, len(text), BLOCK_BYTES):
             block = text[a : a + BLOCK_BYTES]
@@ -117,7 +124,7 @@ class Classifier:
             return self.languages[0], 1.0, 1.0, False
         above = sizes - sizes[best]
         score = 1.0 / float(np.exp(-np.minimum(above, 60) * 0.5).sum())
-        margin = float(np.partition(above, 1)[1]) / float(np.partition(sizes, 1)[1])
+        margin = float(np.partition(above, 1)[1]) / max(1.0, float(np.partition(sizes, 1)[1]))
         return self.languages[best], score, margin, margin < min_margin
 
 
