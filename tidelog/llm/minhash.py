@@ -49,7 +49,7 @@ ROWS, BANDS = 5, 40
 HASHES = 512
 BATCH = 64
 MISS = 1e-5
-BLOCK = 256
+BLOCK = 1024
 SALTS = 16
 BROADCAST_IDS = 500_000
 
