@@ -47,7 +47,7 @@ def as_unigram(path=P.MODEL):
     return sentencepiece.SentencePieceProcessor(model_proto=bytes(data))
 
 
-TEXTS = ["", " ", "a", "Hello  world\n\ttest é ☃ 12", "  lead and trail  ", "▁ own ▁▁ mark", "<0x41> <s> </s>", "日本語 mixed ñandú 🎉🎉", "x" * 300, "\x00\x7f\r\n"]
+TEXTS = ["", " ", "a", "Hello  world\n\ttest é ☃ 12", "  lead and trail  ", "▁ own ▁▁ mark", "\ufdd0▁", "▁", "<0x41> <s> </s>", "日本語 mixed ñandú 🎉🎉", "x" * 300, "\x00\x7f\r\n"]
 
 
 def random_texts(n=300):
@@ -64,8 +64,8 @@ def test_round_trip_and_both_paths_agree(encoder):
         own = ids[at : at + n].tolist()
         at += n
         assert encoder.decode(own) == t
-        if t:
-            assert own == list(encoder.segment(encoder._marked(t)))
+        if t and P.MARK not in t:
+            assert own == list(encoder.segment(P.MARK + t.replace(" ", P.MARK)))
 
 
 def test_same_as_the_library_on_short_texts(encoder):
@@ -107,7 +107,7 @@ def test_best_of_all_segmentations():
                 n = {0: 1, 1: 1, 14: 3}.get(0 if at[0] - 1000 < 128 else 14)
                 value += e.unknown
                 at = at[n:]
-        assert value == pytest.approx(best(e._marked(t)))
+        assert value == pytest.approx(best(P.MARK + t.replace(" ", P.MARK)))
         assert e.decode(ids.tolist()) == t
 
 

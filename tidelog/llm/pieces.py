@@ -41,7 +41,6 @@ from tidelog.llm.textkit import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-OWN_MARK = "﷐"  # stands for a marker of the text itself; a noncharacter, never a piece
 UNKNOWN_PENALTY = 10.0
 CACHE = 150_000
 SHORT = 32
@@ -128,7 +127,7 @@ class Encoder:
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
         self.cuttable = not any(MARK in p.lstrip(MARK) for _, p, _ in pieces)
         self.chunk = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str | None, tuple[int, ...]] = {}
         top = max([*self.ids, *by_byte.values()], default=-1) + 1
         self.bytes_of: list[bytes | None] = [None] * top
         for i, p, _ in pieces:
@@ -136,13 +135,18 @@ class Encoder:
         for b, i in by_byte.items():
             self.bytes_of[i] = bytes([b])
 
-    def _marked(self, text: str) -> str:
-        if OWN_MARK in text:
-            raise ValueError("U+FDD0 is not a character of texts")
-        return MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)
+    def chunks(self, text: str) -> list[str | None]:
+        """What is segmented on its own, markers set; None stands for a marker of the text itself."""
+        out: list[str | None] = []
+        for k, part in enumerate(text.split(MARK)):
+            marked = part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK)
+            out += [None] * (k > 0)
+            if marked:
+                out += self.chunk.findall(marked) if self.cuttable else [marked]
+        return out
 
     def _fallback(self, char: str) -> tuple[int, ...]:
-        return tuple(self.by_byte[b] for b in (MARK if char == OWN_MARK else char).encode("utf-8", "replace"))
+        return tuple(self.by_byte[b] for b in char.encode("utf-8", "replace"))
 
     def _path(self, chunk: str, start: list[int], piece: list[int]) -> tuple[int, ...]:
         """Ids along the best path; start and piece hold, by end, the last piece (-1: by bytes)."""
@@ -235,12 +239,14 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of each text's ids."""
-        cut = self.chunk.findall if self.cuttable else lambda t: [t]
-        chunks = [cut(self._marked(t)) if t else [] for t in texts]
+        chunks = [self.chunks(t) if t else [] for t in texts]
         missing = set(chain.from_iterable(chunks)).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE:
             self.cache.clear()
             missing = set(chain.from_iterable(chunks))
+        if None in missing:
+            missing.remove(None)
+            self.cache[None] = self._fallback(MARK)
         short = [c for c in missing if len(c) <= SHORT]
         for a in range(0, len(short), 8192):
             part = short[a : a + 8192]
