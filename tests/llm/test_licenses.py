@@ -70,3 +70,13 @@ def test_repeated_rows_and_empty_table(spark):
     frame = spark.createDataFrame([("d/x", "Released under the MIT License.", 1)] * 2, SCHEMA)
     assert [(r.licence, r.found) for r in S.scan(frame).collect()] == [("MIT", "own")] * 2
     assert S.scan(frame.filter("false")).count() == 0
+
+
+def test_documents_of_a_given_table_inherit(spark):
+    rows = S.op6_license_scan(spark, "/root/testdata/sf0.001").collect()
+    found = Counter(r.found for r in rows)
+    assert found["own"] and found["inherited"] and found["none"]
+    givers = {r.path: r.own_licence for r in rows if re.search(S.LICENCE_FILE, r.path) and r.own_licence}
+    for r in rows:
+        if r.found == "inherited":
+            assert givers[r.from_path] == r.licence and r.from_path.rsplit("/", 1)[0] == r.path.rsplit("/", 1)[0]

@@ -225,10 +225,10 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Paths for documents: a folder for each source and hundred ids; what opens with a notice stands for a licence file."""
+    """Paths for documents: a folder for each source and hundred ids; what has a notice in any of its lines stands for a licence file."""
     folder = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"))
-    opens = F.coalesce(F.substring_index("text", "\n", 1).rlike("(?i)licensed under|released under"), F.lit(False))
-    name = F.concat(F.when(opens, "LICENSE.").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
+    notice = F.coalesce(F.col("text").rlike("(?i)licensed under|released under"), F.lit(False))
+    name = F.concat(F.when(notice, "LICENSE.").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select("doc_id", "text", F.concat(folder, F.lit("/"), name).alias("path"))
 
 
