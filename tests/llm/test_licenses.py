@@ -80,3 +80,18 @@ def test_documents_of_a_given_table_inherit(spark):
     for r in rows:
         if r.found == "inherited":
             assert givers[r.from_path] == r.licence and r.from_path.rsplit("/", 1)[0] == r.path.rsplit("/", 1)[0]
+
+
+def test_reserved_rights_are_an_own_result(spark):
+    files = [
+        ("d/LICENSE", "Released under the MIT License."),
+        ("d/x", "some text\nAll rights reserved."),
+        ("d/y", "some text"),
+        ("d/z", "Copyright 2020 A. All rights reserved.\n\nAll rights reserved.\n\n" + dict(S.TEMPLATES)["BSD-3-Clause"]),
+        ("d/m", "All rights reserved.\nReleased under MIT License."),
+    ]
+    rows = {r.path: (r.licence, r.found) for r in S.scan(spark.createDataFrame([(*f, 1) for f in files], SCHEMA)).collect()}
+    assert rows["d/x"] == (S.RESERVED, "own") and rows["d/y"] == ("MIT", "inherited")
+    assert rows["d/z"] == ("BSD-3-Clause", "own") and rows["d/m"] == ("MIT", "own")
+    documents = S.op6_license_scan(spark, "/root/testdata/sf0.001").filter("own_licence is not null")
+    assert Counter(r.own_licence for r in documents.collect())[S.RESERVED] == 3

@@ -8,7 +8,9 @@ template has weigh as if one file had them. Compared are
   of the ``ANCHORS``, wherever it stands in the text,
 - in licence files (``LICENSE``, ``COPYING``, ...), the whole text too.
 
-The best template counts from a cosine of ``MIN_COSINE`` on. A licence file gives its
+The best template counts from a cosine of ``MIN_COSINE`` on. Reserved rights are a result
+of their own, which inherits nothing; beside a licence that counts they are its usual
+opening, and the licence holds. A licence file gives its
 directory its licence; a file without a licence of its own takes that of the nearest
 directory above it, found by joining the distinct directories' ancestors with the
 directories that have one.
@@ -40,8 +42,9 @@ from tidelog.llm.runtime import cut, map_in_arrow, table
 from tidelog.llm.textkit import ALNUM, Words, slices, word_hash
 
 MIN_COSINE = 0.75
-ANCHORS = ("licensed", "license", "licence", "licenced", "copyright", "redistribution", "permission", "spdx")
+ANCHORS = ("licensed", "license", "licence", "licenced", "copyright", "redistribution", "permission", "spdx", "reserved")
 LICENCE_FILE = r"(^|/)(?i:licen[cs]e|copying|unlicense|notice)([.\-][^/]*)?$"
+RESERVED = "LicenseRef-All-Rights-Reserved"
 
 # Licence notices by SPDX name.
 TEMPLATES = [
@@ -53,6 +56,7 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (RESERVED, "All rights reserved."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -64,6 +68,11 @@ def _words(text: str) -> list[bytes]:
     return [w.raw[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)]
 
 
+def rank(score: float, name: str) -> tuple[bool, float, str]:
+    """Least first: licences that count, then reserved rights and what does not count, by cosine."""
+    return (name == RESERVED or score < MIN_COSINE, -score, name)
+
+
 class Templates:
     """Unit vectors of the templates over their words, with the weights of all files."""
 
@@ -85,9 +94,8 @@ class Templates:
         norm = math.sqrt(sum(x * x for x in own.values()))
         if not norm:
             return 0.0, ""
-        scores = [(-sum(own[w] * x for w, x in v.items() if w in own) / norm, n) for v, n in zip(self.vectors, self.names, strict=True)]
-        score, name = min(scores)
-        return min(1.0, -score), name
+        scores = [(round(sum(own[w] * x for w, x in v.items() if w in own) / norm, 12), n) for v, n in zip(self.vectors, self.names, strict=True)]
+        return min(scores, key=lambda x: rank(*x))  # equal cosines differ by the order of their sums, hence rounded
 
 
 def vocabulary(templates: list[tuple[str, str]] = TEMPLATES) -> list[bytes]:
@@ -162,7 +170,7 @@ class Scanner:
     def _compare(self, words: Words, row: int, a: int, b: int, best: list) -> None:
         bag = Counter(words.raw[words.start[k] : words.end[k]].tobytes() for k in range(a, b))
         score, name = self.templates.best(bag)
-        if (-score, name) < (-best[row][0], best[row][1]):
+        if rank(score, name) < rank(*best[row]):
             best[row] = (score, name)
 
 
