@@ -6,8 +6,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidelog.functions.text import normalize
 from tidelog.plans.catalogue import QUERIES, SQL, event_log
 from tidelog.sources.tables import compact, export_tsv
 
@@ -67,3 +69,25 @@ def test_export_and_compact(spark, tmp_path):
     assert {tuple(r) for r in spark.read.csv(f"{tmp_path}/t", sep="\t").collect()} == {("a", "1"), ("b", "2")}
     compact(rows, f"{tmp_path}/c", ["id"])
     assert spark.read.parquet(f"{tmp_path}/c").count() == 2
+
+
+def test_whole_texts_are_searched(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = {r.doc_id: r.text for r in QUERIES["normalize_texts"](spark, SF).collect()}
+    assert max(map(len, found.values())) > 60 and {k: len(v.split()) for k, v in found.items()} == {k: len(v.split()) for k, v in docs.items()}
+    pad = "\U0010ffff" * 2
+    windows = {k: len({f"{pad}{v}{pad}"[i : i + 3] for i in range(len(v) + 2)}) for k, v in found.items()}
+    assert {r.doc_id: r.n_grams for r in QUERIES["gram_count_texts"](spark, SF).collect()} == windows
+    grams = lambda v: {f"{pad}{v}{pad}"[i : i + 3] for i in range(len(v) + 2)}
+    lines = spark.createDataFrame([(k, n, line) for k, v in docs.items() for n, line in enumerate(v.split("\n"))], "doc_id long, at int, line string")
+    lines = [(r.doc_id, r.at, grams(r.line)) for r in lines.withColumn("line", normalize(F.col("line"))).collect()]
+    want, late = [], 0
+    for item in spark.read.parquet(f"{SF}/benchmark.parquet").withColumn("text", normalize(F.col("text"))).collect():
+        own, best = grams(item.text), {}
+        for doc, at, g in lines:
+            both = len(own & g)
+            best[doc] = max(best.get(doc, (0, 0)), (both / (len(own) + len(g) - both), at))
+        top = sorted((-s, doc, at) for doc, (s, at) in best.items() if s >= 0.25)[:3]
+        want += [(item.item_id, doc, round(-s, 9), n) for n, (s, doc, _) in enumerate(top, 1)]
+        late += sum(at > 0 for _, _, at in top)
+    assert late and sorted(tuple(r) for r in QUERIES["fuzzy_batch_lines"](spark, SF).collect()) == sorted(want)

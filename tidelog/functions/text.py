@@ -49,8 +49,9 @@ def grams(text: Column, n: int = 3) -> Column:
     if n < 2:
         raise ValueError("grams need n of 2 or more")
     padded = F.concat(F.lit(PAD * (n - 1)), text, F.lit(PAD * (n - 1)))
-    windows = F.transform(F.sequence(F.lit(1), F.char_length(text) + (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
-    return F.array_distinct(windows)
+    # substring() counts from the start for each window, which takes the square of a text's length
+    parts = [F.regexp_extract_all(padded, F.lit(f"(?s)(.)(?=(.{{{n - 1}}}))"), F.lit(k)) for k in (1, 2)]
+    return F.array_distinct(F.zip_with(*parts, lambda a, b: F.concat(a, b)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

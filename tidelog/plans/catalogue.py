@@ -481,6 +481,26 @@ def gram_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.grams(text.normalize(F.substring("text", 1, 60)))).cast("long").alias("n_grams"))
 
 
+# the same over whole texts; the queries above keep to the first characters, as their SQL does
+
+
+@query(f"SELECT doc_id, {NORM.format(t='text')} AS text FROM documents")
+def normalize_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
+
+
+@query()
+def gram_count_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(text.grams(text.normalize(F.col("text")))).cast("long").alias("n_grams"))
+
+
+@query()
+def fuzzy_batch_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    found = fuzzy.fuzzy_batch(table(spark, d, "benchmark"), lines, ("item_id", "text"), ("doc_id", "line"), 0.25, 3)
+    return found.select("item_id", "doc_id", F.round("score", 9).alias("score"), F.col("n").cast("long").alias("n"))
+
+
 # ids, hashes, placement
 
 
