@@ -91,3 +91,9 @@ def test_whole_texts_are_searched(spark):
         want += [(item.item_id, doc, round(-s, 9), n) for n, (s, doc, _) in enumerate(top, 1)]
         late += sum(at > 0 for _, _, at in top)
     assert late and sorted(tuple(r) for r in QUERIES["fuzzy_batch_lines"](spark, SF).collect()) == sorted(want)
+
+
+def test_all_customers_are_asked_to_be_removed(spark):
+    larger = SF.replace("sf0.001", "sf0.01")
+    asked = {r.c_custkey for r in spark.read.parquet(f"{larger}/customer.parquet").select("c_custkey").collect()}
+    assert max(asked) >= 200 and {r.id for r in QUERIES["remove_batch_all"](spark, larger).collect()} == asked

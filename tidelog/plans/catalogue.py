@@ -204,6 +204,13 @@ def remove_batch(spark, d):
     return writes.removals(event_log(spark, d), asked)
 
 
+@query(f"""WITH {LOG} SELECT c_custkey % 16 AS tenant, c_custkey AS id, coalesce(NOT g.removed, false) AS took_effect
+FROM customer LEFT JOIN got g ON g.tenant = c_custkey % 16 AND g.id = c_custkey""")
+def remove_batch_all(spark, d):
+    asked = table(spark, d, "customer").select((F.col("c_custkey") % 16).alias("tenant"), F.col("c_custkey").alias("id"))
+    return writes.removals(event_log(spark, d), asked)
+
+
 GUARDS = """guards AS (SELECT tenant, id, max(seq) FILTER (WHERE event_type <> 'view') AS expected FROM log GROUP BY tenant, id)"""
 
 
