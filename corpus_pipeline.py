@@ -38,8 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    return _documents(decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")))
+    """Documents without passages of the benchmark: every span that op9 counts as hit is cut."""
+    return _documents(decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), span_words=1))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

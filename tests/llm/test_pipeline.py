@@ -46,3 +46,12 @@ def test_run_on_the_small_tables(spark):
     ids = [r.doc_id for r in rows]
     assert 0 < len(ids) == len(set(ids))
     assert all(r.n_tokens >= len(re.findall(r"\S+", r.text)) for r in rows)
+
+
+def test_short_passages_of_the_benchmark_are_cut(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{text} {item} end", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    (row,) = C.drop_benchmarks(spark, docs, str(tmp_path)).collect()
+    assert row.text.split() == [*text.split(), "end"]
