@@ -20,17 +20,28 @@ def test_words(keep, pattern):
     assert got == [re.findall(pattern, (t or "").translate(FOLD)) for t in texts[1:]]
 
 
-def test_hashes_tell_words_apart(monkeypatch):
+def test_hashes_tell_words_apart():
     rng = random.Random(2)
-    words = sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(20000)})
+    words = sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 40))) for _ in range(20000)} | {"a" * n for n in range(1, 200)})
     whole = T.Words(pa.array([" ".join(words)]), T.NOT_BLANK).hashes()
     assert len(set(whole.tolist())) == len(words)
-    monkeypatch.setattr(T, "SLICE_BYTES", 50)
-    monkeypatch.setattr(T, "_known_powers", {})
     parts = T.Words(pa.array(words), T.NOT_BLANK).hashes()
     assert (parts == whole).all() and int(whole[7]) == T.word_hash(words[7].encode())
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters, on which polynomial hashes modulo a power of two collide."""
+    own = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in own), "".join("ba"[x] for x in own)
+
+
+def test_hashes_of_complementary_words():
+    words = [w for k in range(15) for w in thue_morse(1 << k)]
+    for seed in (0, 1):
+        assert len({T.word_hash(w.encode(), seed) for w in words}) == len(words)
+    assert T.word_hash(b"abc") != T.word_hash(b"abc", 1)
+
+
 def test_shingles_and_slices():
     texts = pa.array(["a b c d e f a b c d e", "a b", "", None, "b a", "x y z w v", "a b c d e"])
     rows, values = T.shingles(T.Words(texts, T.NOT_BLANK), 5)

@@ -8,6 +8,7 @@ handled whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +28,11 @@ NOT_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Words of more bytes than this are hashed by BLAKE2b, the others by eight bytes at a time.
+LONG_WORD = 64
 
-
-_known_powers: dict[int, np.ndarray] = {}
-
-
-def _powers(factor: np.uint64, n: int) -> np.ndarray:
-    """factor**0 ... factor**(n - 1) modulo 2**64; those for usual lengths are made once."""
-    size = max(n, 2 * SLICE_BYTES + 1)
-    found = _known_powers.get(int(factor))
-    if found is None or len(found) < n:
-        found = np.full(size, factor, dtype=np.uint64)
-        found[0] = 1
-        np.cumprod(found, out=found)
-        if size == 2 * SLICE_BYTES + 1:
-            _known_powers[int(factor)] = found
-    return found[:n]
+#: Masks that keep the first n bytes of eight, for n from 0 to 8.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,8 +70,10 @@ class Words:
 
     def __init__(self, texts: pa.Array, keep: np.ndarray) -> None:
         raw, self.offsets = utf8(texts)
-        self.raw = _LOWER[raw]
         size, n = len(raw), len(self.offsets) - 1
+        self._eights = np.zeros(size // 8 + 2, dtype="<u8")  # the bytes, and some behind them, eight by eight
+        self.raw = self._eights.view(np.uint8)[:size]
+        np.take(_LOWER, raw, out=self.raw)
         inside = keep[self.raw]
         begins, cuts = inside.copy(), np.zeros(size + 1, dtype=bool)
         cuts[self.offsets] = True
@@ -99,37 +89,48 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from prefix sums of byte * base**position."""
-        out = np.zeros(len(self.start), dtype=np.uint64)
-        a = 0
+    def eight(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The first ``count`` (8 at most) of the eight bytes at each place, as numbers, zeros behind them."""
+        low, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        out = self._eights[low] >> shift
+        out |= (self._eights[low + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        out &= _FIRST[np.minimum(count, 8)]
+        return out
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word.
+
+        Eight bytes at a time go through a bijection of the hash so far, so that words of
+        one length and at most eight bytes never share a hash.
+        """
+        size = self.end - self.start
         with np.errstate(over="ignore"):
-            while a < len(out):
-                base = int(self.start[a])
-                b = max(a + 1, int(np.searchsorted(self.end, base + 2 * SLICE_BYTES, side="right")))
-                part = self.raw[base : int(self.end[b - 1])]
-                sums = np.zeros(len(part) + 1, dtype=np.uint64)
-                np.add(part, np.uint64(1), out=sums[1:], casting="unsafe")
-                sums[1:] *= _powers(_BASE, len(part))
-                np.cumsum(sums, out=sums)
-                back = _powers(_INVERSE, len(part))
-                s, e = self.start[a:b] - base, self.end[a:b] - base
-                out[a:b] = mix((sums[e] - sums[s]) * back[s])
-                a = b
+            out = mix(size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
+            live, done = np.flatnonzero(size <= LONG_WORD), 0
+            while len(live):
+                left = size[live] - done
+                out[live] = mix(out[live] ^ self.eight(self.start[live] + done, left))
+                live, done = live[left > 8], done + 8
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            word = self.raw[self.start[k] : self.end[k]]
+            out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
         return out
 
+    def word(self, k: int) -> bytes:
+        return self.raw[self.start[k] : self.end[k]].tobytes()
+
 
-def word_hash(word: bytes) -> int:
+def word_hash(word: bytes, seed: int = 0) -> int:
     """The same hash for one word."""
-    return int(Words(pa.array([word.decode()]), np.ones(256, dtype=bool)).hashes()[0])
+    return int(Words(pa.array([word.decode()]), np.ones(256, dtype=bool)).hashes(seed)[0])
 
 
-def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: Words, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each text, sorted by row and hash.
 
     A text of fewer words has its whole sequence as one; without words it has none.
     """
-    h, first = words.hashes(), words.first
+    h, first = words.hashes(seed), words.first
     counts = np.diff(first)
     n = len(h)
     with np.errstate(over="ignore"):
