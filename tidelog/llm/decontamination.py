@@ -14,33 +14,41 @@ next to each other in some item. Documents are therefore cut, exactly, where the
 do not; pieces too short for the shortest window are left out, and all other pieces
 of a batch walk the automaton in step, as NumPy arrays.
 
+Words are looked up by hash; the words of every hit are then compared byte by byte, and
+a seed is taken under which no two words of the items share a hash.
+
 Scale: documents are read once, in a narrow stage, without a shuffle. The items'
-size is counted first; beyond ``SHARD_WORDS`` words they are split over several
-automata (by item), each of which is shipped and walked in its own pass, so that what
-a worker holds is bounded.
+size is counted first; beyond ``SHARD_BYTES`` they are split over several automata (by
+item), each of which is shipped and walked in its own pass; what a pass gives is
+written before the next one, so that the driver and a worker hold one automaton at a
+time (some 150 MB for a full shard). One item longer than that is a shard of its own.
 
 Defined cases: null or empty texts have no words and no hits; items without words
-have no window; items of equal text all count; rows of one doc_id are judged one by
-one; an empty benchmark or document table gives no hits or no rows; columns of other
-names pass through ``decontaminate``, those that it sets are replaced.
+have no window, nor have items without an id; items of equal text all count, rows of one
+item_id are one item; rows of one doc_id are judged one by one; an empty benchmark or
+document table gives no hits or no rows; other columns pass through, whatever their
+names; those that ``contamination`` (its ``names``) and ``decontaminate`` (n_removed)
+set are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import map_in_arrow, table
+from tidelog.llm.runtime import free_names, map_in_arrow, share, store, table
 from tidelog.llm.textkit import ALNUM, Words, slices
 
 WINDOW = 8
 MIN_ITEMS = 2
-SHARD_WORDS = 2_000_000
+SHARD_BYTES = 1 << 20
+NAMES = ("n_words", "spans", "items")
 
 
 class SuffixAutomaton:
@@ -143,8 +151,13 @@ class Index:
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         words = Words(pa.array([t for _, t in items], pa.string()), ALNUM)
-        self.vocabulary, numbers = np.unique(words.hashes(), return_inverse=True)
-        numbers = numbers.reshape(-1).astype(np.int64)
+        spelled = [words.word(k) for k in range(len(words))]
+        for self.seed in count():
+            self.vocabulary, first, numbers = np.unique(words.hashes(self.seed), return_index=True, return_inverse=True)
+            numbers = numbers.reshape(-1).astype(np.int64)
+            self.spelling = [spelled[k] for k in first.tolist()]
+            if all(w == self.spelling[n] for w, n in zip(spelled, numbers.tolist(), strict=True)):
+                break
         cut = [numbers[words.first[i] : words.first[i + 1]].tolist() for i in range(len(items))]
         self.automaton = SuffixAutomaton([(i, w) for (i, _), w in zip(items, cut, strict=True)], window)
         self.pairs = np.unique(np.array([(a << 32) | b for w in cut for a, b in zip(w, w[1:], strict=False)], dtype=np.int64))
@@ -154,7 +167,7 @@ class Index:
         none = (np.zeros(0, dtype=np.int64),) * 3
         if not len(words) or not len(self.vocabulary) or not self.automaton.shortest:
             return none
-        h = words.hashes()
+        h = words.hashes(self.seed)
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         number = np.where(self.vocabulary[at] == h, at, -1).astype(np.int64)
         known = number >= 0
@@ -193,8 +206,21 @@ class Index:
             k += 1
         if not last:
             return none
-        marks = np.array(marks)
-        return np.array(last), np.array(self.automaton.widths)[marks], marks
+        last, marks = np.array(last), np.array(marks)
+        width = np.array(self.automaton.widths)[marks]
+        true = self._spelled(words, number, last, width)
+        return last[true], width[true], marks[true]
+
+    def _spelled(self, words: Words, number: np.ndarray, last: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Whether the words of each occurrence are those of the items, by their bytes and not their hashes alone."""
+        covered = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(covered, last - width + 1, 1)
+        np.add.at(covered, last + 1, -1)
+        wrong = np.zeros(len(words) + 1, dtype=np.int64)
+        for p in np.flatnonzero(np.cumsum(covered[:-1])).tolist():
+            wrong[p + 1] = words.word(p) != self.spelling[number[p]]
+        np.cumsum(wrong, out=wrong)
+        return wrong[last + 1] == wrong[last - width + 1]
 
     def judge(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text: its number of words, hit word spans [a, b) merged, and the items that occur (all as strings)."""
@@ -229,48 +255,45 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tuple[str, str]]]:
-    """The items (item_id, text) in shards of about ``shard_words`` words; one shard is on the driver at a time."""
-    words = F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1  # no text has more
-    total = items.agg(F.sum(words)).first()[0] or 0
-    n = int(total // shard_words) + 1
+def item_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The items (item_id, text) in shards of about ``shard_bytes``; one shard is on the driver at a time."""
+    usable = items.filter("text is not null and item_id is not null").select(F.col("item_id").cast("string"), "text")
+    total = usable.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    n = int(total // shard_bytes) + 1
     for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        rows = part.select(F.col("item_id").cast("string"), "text").filter("text is not null and item_id is not null").collect()
-        yield sorted((r[0], r[1]) for r in rows)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The columns of docs (with text), and n_words, spans (array of word ranges from, to), items (array of item ids as strings)."""
-    out = docs.withColumns(
-        {
-            "n_words": F.lit(0).cast("long"),
-            "spans": F.array().cast("array<struct<from:int,to:int>>"),
-            "items": F.array().cast("array<string>"),
-        }
-    )
-    spark, schema = docs.sparkSession, out.schema
-    for shard in item_shards(items, shard_words):
-        index = spark.sparkContext.broadcast(Index(shard, window))
+        part = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else usable
+        yield sorted((r[0], r[1]) for r in part.collect())
+
+
+def contamination(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, names: tuple[str, str, str] = NAMES
+) -> DataFrame:
+    """The columns of docs (with text), and n_words, spans (array of word ranges from, to), items (array of item ids as strings), as ``names`` has them."""
+    kinds = (F.lit(0).cast("long"), F.array().cast("array<struct<from:int,to:int>>"), F.array().cast("array<string>"))
+    out = docs.withColumns(dict(zip(names, kinds, strict=True)))
+    schema, first = out.schema, True
+    for shard in item_shards(items, shard_bytes):
+        index = share(docs.sparkSession, Index(shard, window))
 
         def walk(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 for a, b in slices(batch.column(at)):
                     part = batch.slice(a, b - a)
-                    old_spans, old_items = part.column("spans").to_pylist(), part.column("items").to_pylist()
+                    old_spans, old_items = part.column(names[1]).to_pylist(), part.column(names[2]).to_pylist()
                     counts, spans, found = [], [], []
                     for r, (n, s, i) in enumerate(index.value.judge(part.column(at))):
                         counts.append(n)
                         s = _merge(s + [(x["from"], x["to"]) for x in old_spans[r]]) if old_spans[r] else s
                         spans.append([{"from": x, "to": y} for x, y in s])
                         found.append(sorted({*i, *old_items[r]}))
-                    for name, values in (("n_words", counts), ("spans", spans), ("items", found)):
+                    for name, values in zip(names, (counts, spans, found), strict=True):
                         k = part.schema.get_field_index(name)
                         part = part.set_column(k, part.schema.field(k), pa.array(values, part.schema.field(k).type))
                     yield part
 
-        out = map_in_arrow(out, walk, schema)
+        out = map_in_arrow(out if first else store(out), walk, schema)
+        first = False
     return out
 
 
@@ -283,15 +306,17 @@ def decontaminate(
     are hit, goes. From others, hit spans of at least ``span_words`` words are cut out of
     the text. The columns of docs come back, and n_removed (words cut).
     """
-    judged = contamination(docs, items, window)
-    hit = F.aggregate("spans", F.lit(0), lambda s, x: s + x["to"] - x["from"])
-    kept = judged.filter((F.size("items") < min_items) & (hit < F.greatest(F.lit(1), F.col("n_words")) * coverage))
+    docs = docs.drop("n_removed")
+    counted, ranges, found = free_names([*docs.columns, "n_removed"], *NAMES)
+    judged = contamination(docs, items, window, names=(counted, ranges, found))
+    hit = F.aggregate(ranges, F.lit(0), lambda s, x: s + x["to"] - x["from"])
+    kept = judged.filter((F.size(found) < min_items) & (hit < F.greatest(F.lit(1), F.col(counted)) * coverage))
     names = docs.columns
     schema = kept.select(*names, F.lit(0).alias("n_removed")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("spans")
+            texts, spans = batch.column("text"), batch.column(ranges)
             removed = np.zeros(len(texts), dtype=np.int32)
             changed = {}
             for r, own in enumerate(spans.to_pylist()):

@@ -1,33 +1,39 @@
 """Piece encoding and decoding: unigram Viterbi over a double-array trie of scored pieces.
 
-The vocabulary (pieces with log scores) is read from a tokenizer file, whose path is a
-parameter; nothing is trained. A text gets a leading whitespace marker and a marker
-for every space; the segmentation with the largest sum of scores is taken, ties going
-to the longer last piece. A character for which there is no piece costs
-``UNKNOWN_PENALTY`` less than the worst piece, and is given by its UTF-8 bytes.
-Decoding joins the pieces, bytes among them, turns markers into spaces and drops the
-leading one, so that ``decode(encode(text)) == text`` for every text.
+The vocabulary is read from a tokenizer file, whose path is a parameter; nothing is
+trained. A unigram file gives its log scores as they are. A file whose scores are whole
+numbers, the ranks of merges, gives no probabilities; its pieces, in that order, get the
+log scores of Zipf's law, -ln((rank + 1) * H) with H the harmonic number of all pieces. A
+text gets a leading whitespace marker and a marker for every space; the segmentation
+with the largest sum of scores is taken, ties going to the longer last piece. A
+character for which there is no piece costs ``UNKNOWN_PENALTY`` less than the worst
+piece, and is given by its UTF-8 bytes. Decoding joins the pieces, bytes among them,
+turns markers into spaces and drops the leading one, so that ``decode(encode(text))``
+is the text again for every text.
 
 No piece holds a marker behind another character, so that every segmentation has a
-boundary there. A text is cut at those places; each distinct chunk of a batch is
-segmented once, all short ones together as NumPy arrays. With a vocabulary that has
-such pieces, whole texts are segmented.
+boundary there. A text is cut at those places; Arrow finds the distinct chunks of a
+slice, each of which is segmented once, all short ones together as NumPy arrays. With a
+vocabulary that has such pieces, whole texts are segmented.
 
 Scale: a narrow stage; workers hold the trie (a few MB, checked by the size of the
-vocabulary) and at most ``CACHE`` chunks.
+vocabulary) and at most ``CACHE`` chunks of up to ``SHORT`` characters. ``round_trip``
+encodes and decodes in one worker.
 
 Defined cases: null stays null (null ids, n_tokens 0); an empty text has no pieces; a
 marker character in the text itself is given by its bytes, so that it comes back; a
 text without spaces is one chunk of any length; repeated rows are alike; ids that are
-not in the vocabulary are an error in decoding; an empty table gives no rows; other
-columns pass through, those that ``encode`` and ``decode`` set are replaced.
+not in the vocabulary are an error in decoding, bytes that are no UTF-8 become U+FFFD;
+an empty table gives no rows; other columns pass through, those that ``encode`` and
+``decode`` set are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,15 +42,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import map_in_arrow, table
-from tidelog.llm.textkit import slices
+from tidelog.llm.runtime import map_in_arrow, share, table
+from tidelog.llm.textkit import slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_MARK = MARK.encode()
 UNKNOWN_PENALTY = 10.0
-CACHE = 150_000
+CACHE = 100_000
 SHORT = 32
-DECODE_ROWS = 256
 MAX_PIECES = 2_000_000
 
 
@@ -59,6 +65,10 @@ def read_pieces(path: str = MODEL) -> tuple[list[tuple[int, str, float]], dict[i
             by_byte[int(model.id_to_piece(i)[1:-1], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             pieces.append((i, model.id_to_piece(i), model.get_score(i)))
+    if pieces and all(s <= 0 and s == int(s) for _, _, s in pieces):  # ranks of merges, no probabilities
+        order = {i: r for r, (i, _, _) in enumerate(sorted(pieces, key=lambda x: (-x[2], x[0])))}
+        total = math.log(sum(1 / (r + 1) for r in range(len(pieces))))
+        pieces = [(i, p, -math.log(order[i] + 1) - total) for i, p, _ in pieces]
     return pieces, by_byte
 
 
@@ -80,12 +90,22 @@ class DoubleArray:
         top = max((c for x in children for c in x), default=0) + 2
         size = 4 * len(children) + 2 * top
         base, check, own = (np.full(size, x, dtype=np.int64) for x in (0, -1, -1))
-        check[0], own[0] = 0, value[0]
+        check[0], own[0] = 0, value[0]  # the root; no child is placed here
         place, free = {0: 0}, 1
         waiting = [(-len(children[0]), 0)] if children[0] else []
         while waiting:  # the largest families first, each once its parent has a place
             _, s = heapq.heappop(waiting)
             codes = np.array(sorted(children[s]))
+            if len(codes) == 1:
+                while free < size and check[free] != -1:
+                    free += 1
+                if free < size:
+                    (c, child), = children[s].items()
+                    base[place[s]], check[free], own[free] = free - c, place[s], value[child]
+                    place[child] = free
+                    if children[child]:
+                        heapq.heappush(waiting, (-len(children[child]), child))
+                    continue
             while free < size - 1 and check[free] != -1:
                 free += 1
             at = free - int(codes[0])
@@ -119,49 +139,63 @@ class Encoder:
         if len(pieces) > MAX_PIECES:
             raise ValueError(f"{len(pieces)} pieces; workers are meant to hold at most {MAX_PIECES}")
         self.by_byte = by_byte
-        self.codes = {c: k + 1 for k, c in enumerate(sorted({c for _, p, _ in pieces for c in p}))}
-        self.trie = DoubleArray(([self.codes[c] for c in p], k) for k, (_, p, _) in enumerate(pieces))
-        self.ids = [i for i, _, _ in pieces]
+        chars = sorted({ord(c) for _, p, _ in pieces for c in p.replace(MARK, " ")})
+        self.codes = np.zeros(0x110000, dtype=np.int32)  # by character, a space being the marker; 0: in no piece
+        self.codes[chars] = np.arange(1, len(chars) + 1)
+        self.trie = DoubleArray((self._codes(p.replace(MARK, " ")).tolist(), k) for k, (_, p, _) in enumerate(pieces))
+        self.ids = np.array([i for i, _, _ in pieces], dtype=np.int32)
         self.scores = np.array([s for _, _, s in pieces], dtype=np.float64)
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY if len(pieces) else -1.0
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
         self.cuttable = not any(MARK in p.lstrip(MARK) for _, p, _ in pieces)
-        self.chunk = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.cache: dict[str | None, tuple[int, ...]] = {}
-        top = max([*self.ids, *by_byte.values()], default=-1) + 1
-        self.bytes_of: list[bytes | None] = [None] * top
+        self.cache: dict[bytes, bytes] = {}  # chunks and their ids, four bytes each
+        bytes_of: list[bytes | None] = [None] * (max([i for i, _, _ in pieces] + [*by_byte.values()], default=-1) + 1)
         for i, p, _ in pieces:
-            self.bytes_of[i] = p.replace(MARK, " ").encode()
+            bytes_of[i] = p.replace(MARK, " ").encode()
         for b, i in by_byte.items():
-            self.bytes_of[i] = bytes([b])
-
-    def chunks(self, text: str) -> list[str | None]:
-        """What is segmented on its own, markers set; None stands for a marker of the text itself."""
-        out: list[str | None] = []
-        for k, part in enumerate(text.split(MARK)):
-            marked = part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK)
-            out += [None] * (k > 0)
-            if marked:
-                out += self.chunk.findall(marked) if self.cuttable else [marked]
-        return out
-
-    def _fallback(self, char: str) -> tuple[int, ...]:
-        return tuple(self.by_byte[b] for b in char.encode("utf-8", "replace"))
-
-    def _path(self, chunk: str, start: list[int], piece: list[int]) -> tuple[int, ...]:
+            bytes_of[i] = bytes([b])
+        self.bytes_of = pa.array(bytes_of, pa.large_binary())
+
+    def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What is segmented on its own, as bytes with spaces for markers, and n + 1 chunk offsets by text."""
+        raw, offsets = utf8(texts)
+        some = np.diff(offsets) > 0
+        offsets = offsets + np.concatenate([[0], np.cumsum(some)])  # each text gets a space in front
+        front = np.zeros(int(offsets[-1]), dtype=bool)
+        front[offsets[:-1][some]] = True
+        data = np.full(len(front), 0x20, dtype=np.uint8)
+        data[~front] = raw
+        begins = front
+        if self.cuttable:
+            space = data == 0x20
+            begins[1:] |= space[1:] & ~space[:-1]
+        marks = np.flatnonzero((data[:-2] == _MARK[0]) & (data[1:-1] == _MARK[1]) & (data[2:] == _MARK[2]))
+        begins[marks] = True
+        begins[(marks + 3)[marks + 3 < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        own = np.append(starts, len(data)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(own), pa.py_buffer(data)]), np.searchsorted(starts, offsets)
+
+    def _codes(self, text: str) -> np.ndarray:
+        return self.codes[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+
+    def _fallback(self, char: str) -> list[int]:
+        return [self.by_byte[b] for b in char.encode("utf-8", "replace")]
+
+    def _path(self, chunk: str, start: list[int], piece: list[int]) -> bytes:
         """Ids along the best path; start and piece hold, by end, the last piece (-1: by bytes)."""
         out, at = [], len(chunk)
         while at:
             k = piece[at]
-            out.append((self.ids[k],) if k >= 0 else self._fallback(chunk[at - 1]))
+            out.append([self.ids[k]] if k >= 0 else self._fallback(chunk[at - 1]))
             at = start[at]
-        return tuple(chain.from_iterable(reversed(out)))
+        return np.array(list(chain.from_iterable(reversed(out))), dtype=np.int32).tobytes()
 
-    def segment(self, chunk: str) -> tuple[int, ...]:
-        """The best segmentation of one chunk of any length."""
+    def segment(self, chunk: str) -> bytes:
+        """The ids of the best segmentation of one chunk of any length."""
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         n = len(chunk)
-        codes = [self.codes.get(c, 0) for c in chunk]
+        codes = self._codes(chunk).tolist()
         best, start, piece = [0.0] + [-np.inf] * n, [-1] * (n + 1), [-1] * (n + 1)
         for s in range(n):
             state, single = 0, False
@@ -180,11 +214,11 @@ class Encoder:
                 best[s + 1], start[s + 1], piece[s + 1] = x, s, -1
         return self._path(chunk, start, piece)
 
-    def segment_all(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def segment_all(self, chunks: list[str]) -> list[bytes]:
         """``segment`` of many short chunks, position by position for all at once."""
         m, width = len(chunks), max(map(len, chunks))
         lengths = np.array([len(c) for c in chunks])
-        flat = np.array([self.codes.get(c, 0) for c in "".join(chunks)], dtype=np.int64)
+        flat = self._codes("".join(chunks))
         codes = np.zeros((width + 1, m), dtype=np.int64)
         column = np.repeat(np.arange(m), lengths)
         row = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -231,101 +265,115 @@ class Encoder:
             who = who[at[who] > 0]
         paths = np.stack(steps[::-1], axis=1)
         used = paths > -2
-        flat, ends = np.array(self.ids)[np.maximum(paths[used], 0)].tolist(), np.cumsum(used.sum(axis=1)).tolist()
-        out = [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        flat, ends = self.ids[np.maximum(paths[used], 0)].tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         for i in np.flatnonzero(odd).tolist():
             out[i] = self._path(chunks[i], start[:, i].tolist(), piece[:, i].tolist())
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of each text's ids."""
-        chunks = [self.chunks(t) if t else [] for t in texts]
-        missing = set(chain.from_iterable(chunks)).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-            missing = set(chain.from_iterable(chunks))
-        if None in missing:
-            missing.remove(None)
-            self.cache[None] = self._fallback(MARK)
-        short = [c for c in missing if len(c) <= SHORT]
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All ids one after the other, and n + 1 offsets by text."""
+        chunks, first = self.chunks(texts)
+        distinct = chunks.dictionary_encode()
+        values = distinct.dictionary.to_pylist()
+        found = [self.cache.get(c) for c in values]
+        missing = [k for k, f in enumerate(found) if f is None]
+        names = [values[k].decode("utf-8", "replace") for k in missing]
+        short = [i for i, n in enumerate(names) if len(n) <= SHORT and values[missing[i]] != _MARK]
         for a in range(0, len(short), 8192):
             part = short[a : a + 8192]
-            self.cache.update(zip(part, self.segment_all(part), strict=True))
-        for c in missing:
-            if len(c) > SHORT:
-                self.cache[c] = self.segment(c)
-        counts = np.zeros(len(texts), dtype=np.int64)
-        own = []
-        for r, part in enumerate(chunks):
-            found = [self.cache[c] for c in part]
-            counts[r] = sum(map(len, found))
-            own.append(found)
-        ids = np.fromiter(chain.from_iterable(chain.from_iterable(own)), dtype=np.int32, count=int(counts.sum()))
-        return ids, counts
-
-    def decode_all(self, lists: pa.ListArray) -> pa.Array:
-        """``decode`` of each list; a null list gives null."""
-        found = pa.array(self.bytes_of, pa.large_binary()).take(lists.flatten())
-        counts = np.bincount(pc.list_parent_indices(lists).to_numpy(), minlength=len(lists))
+            for i, ids in zip(part, self.segment_all([names[i] for i in part]), strict=True):
+                found[missing[i]] = ids
+        if len(self.cache) + len(short) > CACHE:
+            self.cache.clear()
+        self.cache.update((values[missing[i]], found[missing[i]]) for i in short[:CACHE])
+        for k, name in zip(missing, names, strict=True):
+            if found[k] is None:
+                found[k] = np.array(self._fallback(MARK), dtype=np.int32).tobytes() if values[k] == _MARK else self.segment(name)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+        which = distinct.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        return lists.take(distinct.indices).flatten(), ends[first]
+
+    def decode(self, ids: pa.Array, offsets: np.ndarray, mask: pa.Array | None = None) -> pa.Array:
+        """The text of each range of ids; null where ``mask`` is true."""
+        found = self.bytes_of.take(ids)
+        if found.null_count:
+            raise ValueError("an id that the vocabulary does not have")
         ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(found) + 1]  # the pieces stand one after the other
-        offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
-        offsets, null = offsets.tolist(), lists.is_null().to_pylist()
-        raw = found.buffers()[2].to_pybytes() if offsets[-1] else b""
-        return pa.array(
-            [None if null[i] else raw[offsets[i] + 1 : offsets[i + 1]].decode("utf-8", "replace") for i in range(len(lists))], pa.string()
-        )
-
-    def decode(self, ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")[1:]
-
-
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """The columns of docs (with text), and ids (array<int>), n_tokens."""
-    out = docs.withColumns({"ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(0).cast("long")})
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(*read_pieces(model)))
+        data = found.buffers()[2]
+        raw = np.frombuffer(data, dtype=np.uint8)[: ends[-1]] if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+        cuts = ends[offsets]
+        fronts = cuts[:-1][np.diff(cuts) > 0]
+        keep = np.ones(len(raw), dtype=bool)
+        keep[fronts[raw[fronts] == 0x20]] = False
+        cuts = np.concatenate([[0], np.cumsum(keep)])[cuts]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw[keep])])
+        try:
+            texts = texts.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
+        return (texts if mask is None else pc.if_else(mask, None, texts)).cast(pa.string())
+
+
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    for name, values in columns.items():
+        k = batch.schema.get_field_index(name)
+        batch = batch.set_column(k, batch.schema.field(k), values.cast(batch.schema.field(k).type))
+    return batch
+
+
+@lru_cache(maxsize=2)
+def load(model: str) -> Encoder:
+    return Encoder(*read_pieces(model))
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, to: str | None = "decoded") -> DataFrame:
+    """The columns of docs (with text), ids (array<int>), n_tokens, and in column ``to`` the text that the ids stand for."""
+    new = {"ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(0).cast("long")}
+    out = docs.withColumns(new if to in (None, "text") else new | {to: F.lit(None).cast("string")})
+    shared = share(docs.sparkSession, load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                texts = part.column("text")
-                ids, counts = encoder.encode(texts.to_pylist())
-                offsets = np.zeros(len(counts) + 1, dtype=np.int32)
-                np.cumsum(counts, out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=texts.is_null())
-                for name, values in (("ids", lists), ("n_tokens", pa.array(counts))):
-                    k = part.schema.get_field_index(name)
-                    part = part.set_column(k, part.schema.field(k), values.cast(part.schema.field(k).type))
-                yield part
+                null = part.column("text").is_null()
+                ids, offsets = encoder.encode(part.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids, mask=null)
+                columns = {"ids": lists, "n_tokens": pa.array(np.diff(offsets))}
+                yield _with(part, columns if to is None else columns | {to: encoder.decode(ids, offsets, null)})
         encoder.cache.clear()
 
     return map_in_arrow(out, run, out.schema)
 
 
+def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """The columns of docs (with text), and ids (array<int>), n_tokens."""
+    return round_trip(docs, model, to=None)
+
+
 def decode(encoded: DataFrame, model: str = MODEL, to: str = "decoded") -> DataFrame:
     """The columns of encoded (with ids), and the text that the ids stand for."""
     out = encoded.withColumn(to, F.lit(None).cast("string"))
-    shared = encoded.sparkSession.sparkContext.broadcast(Encoder(*read_pieces(model)))
+    shared = share(encoded.sparkSession, load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
         for batch in batches:
-            k = batch.schema.get_field_index(to)
-            for a in range(0, batch.num_rows, DECODE_ROWS):
-                part = batch.slice(a, DECODE_ROWS)
-                texts = encoder.decode_all(part.column("ids"))
-                yield part.set_column(k, part.schema.field(k), texts)
+            lists = batch.column("ids")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            yield _with(batch, {to: shared.value.decode(lists.flatten(), offsets, lists.is_null())})
 
     return map_in_arrow(out, run, out.schema)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: tokens, a digest of the ids, and whether decoding them gives the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs))
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
         "n_tokens",
