@@ -44,7 +44,7 @@ def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its piece ids, and as text what these decode to."""
-    return pieces.decode(pieces.encode(docs.select(*COLUMNS)), to="text").select(*COLUMNS, "ids", "n_tokens")
+    return pieces.round_trip(docs.select(*COLUMNS), to="text").select(*COLUMNS, "ids", "n_tokens")
 
 
 STAGES = [
