@@ -67,6 +67,46 @@ def test_repeated_rows_empty_table_and_deduplicate(spark):
     assert M.near_duplicates(docs.filter("false")).count() == 0
 
 
+def test_rows_of_one_document_with_different_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(f"v{i}" for i in range(60)), " ".join(words)
+    docs = spark.createDataFrame([(5, a), (5, b), (5, ""), (7, b + " z"), (9, a + " z"), (9, None), (11, "alone")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in M.near_duplicates(docs).collect())
+    assert got == sorted([(5, 56, 5), (5, 56, 5), (5, 0, 5), (7, 57, 5), (9, 57, 5), (9, 0, 5), (11, 1, 11)])
+    assert sorted((r.doc_id, r.text) for r in M.deduplicate(docs).collect()) == [(5, ""), (11, "alone")]
+
+
+def test_large_bucket_of_alike_documents(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i in range(300) for k in [rng.randrange(400)]]
+    docs += [(1000 + i, " ".join([*base[:300], *[f"y{i}_{j}" for j in range(100)]])) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in M.near_duplicates(frame, 85).collect()) == brute(docs, 85)
+
+
+def test_comparisons_of_alike_members_grow_with_their_number(monkeypatch):
+    compared = []
+    real = M.staying_pairs
+    monkeypatch.setattr(M, "staying_pairs", lambda s, left, right, needed: (compared.append(len(left)), real(s, left, right, needed))[1])
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, M.HASHES, dtype=np.uint8)
+    per_member = []
+    for n in (2048, 50_000):
+        changed = np.where(rng.random((n, M.HASHES)) < 0.03, rng.integers(0, 256, (n, M.HASHES), dtype=np.uint8), base)
+        marks = rng.integers(0, 256, (n, 4 * M.BANDS), dtype=np.uint8)
+        signature = np.concatenate([changed, marks], axis=1)
+        zeros = np.zeros(n, dtype=np.int32)
+        rows = pa.table({"node": np.arange(n), "label": np.arange(n), "band": zeros, "side": zeros, "minor": zeros > 0, "many": zeros == 0, "signature": [r.tobytes() for r in signature]})
+        compared.clear()
+        own = M._Members(rows)
+        pairs = own.within([*range(0, n, M.BLOCK), n], M.least_matches(85), int(M.HASHES * 0.88))
+        assert len(own.forest(*pairs)) == n - -(-n // M.BLOCK)
+        per_member.append(sum(compared) / n)
+    assert per_member[1] < 1.3 * per_member[0] and per_member[1] < 3
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(300 + i, 301 + i) for i in range(40)]
