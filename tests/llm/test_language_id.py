@@ -1,6 +1,9 @@
 import random
+import re
+import unicodedata
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
 from tidelog.llm import language_id as L
@@ -27,12 +30,34 @@ def test_held_out_accuracy_and_folds(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_prediction_is_the_smallest_compression():
-    texts = corpus(60)
-    c = L.Classifier({k: L._layout([t for _, t, g in texts if g == k]) for k in ("xx", "yy")})
-    for _, t, _ in texts:
-        sizes = c.sizes(L._folded(t)).tolist()
-        assert c.predict(t)[0] == c.languages[sizes.index(min(sizes))]
+def test_prediction_is_the_smallest_compression(spark):
+    texts = [(i, t * rep, g) for i, (t, g) in enumerate((t, g) for _, t, g in corpus(40)) for rep in [[1, 1, 300][i % 3]]]
+    texts += [(100 + i, t[:n], g) for i, (_, t, g) in enumerate(texts[:30]) for n in [1 + i % 12]]
+    dictionaries = {k: L._layout([t for _, t, g in texts if g == k]) for k in ("xx", "yy")}
+    rows = {r.doc_id: r for r in L.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string"), dictionaries).collect()}
+    for i, text, _ in texts:
+        folded = "".join(c if unicodedata.category(c)[0] in "LM" else "\0" for c in text.lower())
+        folded = re.sub("\0+", " ", folded).encode()
+        sizes = {}
+        for lang, content in dictionaries.items():
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            pack = lambda b, raw=raw: len(zstandard.ZstdCompressor(level=5, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b))
+            before = content[-300:] + b" "
+            sizes[lang] = sum(pack(before + folded[a : a + 8192]) - pack(before) for a in range(0, len(folded), 8192))
+        best = min(sizes, key=lambda k: sizes[k])
+        margin = (max(sizes.values()) - sizes[best]) / max(1, max(sizes.values()))
+        assert (rows[i].lang_pred, rows[i].rejected) == (best, margin < L.MIN_MARGIN) and abs(rows[i].margin - margin) < 1e-12
+
+
+def test_marks_long_texts_and_many_languages(spark):
+    assert L._folded("हिन्दी-में 12 ÉTÉ") == "हिन्दी में été".encode()
+    rows = [(i, f"{g}ab {g}cd {g}ef " * (30_000 if g == "q" else 5), g) for i in range(60) for g in "qrs"[: 1 + i % 3]]
+    docs = spark.createDataFrame([(k, t, g) for k, (_, t, g) in enumerate(rows)], "doc_id long, text string, lang string")
+    found = L.train(docs)
+    assert list(found) == ["q", "r", "s"] and all(0 < len(d) <= L.DICT_BYTES for d in found.values())
+    assert list(L.train(docs, max_languages=2)) == ["q", "r"]
+    predicted = L.identify(docs, found).select("lang", "lang_pred").distinct().collect()
+    assert sorted(map(tuple, predicted)) == [("q", "q"), ("r", "r"), ("s", "s")]
 
 
 def test_defined_cases(spark):

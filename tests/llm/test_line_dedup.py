@@ -53,6 +53,15 @@ def test_repeated_rows_are_one_document(spark):
     assert run(spark, docs) == sorted([(1, 1, 1, "")] * 6 + [(i, 1, 1, "") for i in range(2, 5)] + [(5, 1, 0, line)])
 
 
+def test_columns_with_the_names_used_inside(spark):
+    line = "a third line that is long enough to be counted at all"
+    names = ["_id", "_tk", "_keep", "_n", "_at", "_page", "_bits", "Keep_words", "a b.c"]
+    docs = spark.createDataFrame([(i, line, *[f"{n}{i}" for n in names]) for i in range(6)], ["doc_id", "text", *names])
+    out = sorted(L.line_dedup(docs).collect())
+    assert out[0].asDict().keys() == {"doc_id", "text", *names, "n_lines", "n_dropped"}
+    assert [(r.doc_id, r.text, r.n_dropped, r._keep, r["a b.c"]) for r in out] == [(i, "" if i < 5 else line, int(i < 5), f"_keep{i}", f"a b.c{i}") for i in range(6)]
+
+
 def test_empty_table_and_bitmaps(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_dedup(frame).count() == 0

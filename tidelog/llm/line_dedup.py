@@ -10,13 +10,19 @@ Plan: lines become 96-bit key hashes with their document and position; those row
 by document and position, and streamed by a window that lets the first occurrence
 of each (key, document) through. Counting these per key needs one row per key and
 salt after map-side aggregation, so that a line which a third of all documents hold
-spreads over ``SALTS`` groups. What comes back per document is a bitmap compressed
-by words: 64 lines to a word, words without a dropped line left out.
+spreads over as many groups as there are ``SALT_ROWS`` rows, ``LEAST_SALTS`` at least.
+What comes back per document is a bitmap compressed by words: 64 lines to a word, words
+without a dropped line left out.
+
+Texts are only shuffled where lines are dropped: a bit set of the documents concerned (by
+hash, at most 2**``MOST_BITS`` bits, that is 16 MB) is broadcast, and a document whose bit
+is not set stays where it is. For that the input is read twice.
 
 Defined cases: a null or empty text is one empty line; rows of the same doc_id are
 one document for counting, and each of them loses the same lines; a null doc_id is
 a document below all others (all rows with a null doc_id together); an empty table
-gives no rows; further columns of the input are ignored, whatever their names.
+gives no rows; further columns of the input pass through, whatever their names, but that
+n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import cut, table
+from tidelog.llm.runtime import cut, free_names, quoted, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SALTS = 64
+LEAST_SALTS, SALT_ROWS = 64, 250_000
 WORD = 64
+LEAST_BITS, MOST_BITS = 15, 27
+PAGE = 32_768  # bits of a row that bitmap_construct_agg makes
 
 # The six bytes stripped at both ends, and the letters folded.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -63,7 +71,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ``keep_words`` maps a word's number to 64 keep bits, bit i for line 64 * word + i;
     a word that is not in the map keeps all its lines.
     """
-    occurrences = cut(line_occurrences(docs, min_chars)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    occurrences = cut(line_occurrences(docs, min_chars))
+    salts = max(LEAST_SALTS, occurrences.count() // SALT_ROWS)
+    occurrences = occurrences.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     ranged = occurrences.repartitionByRange("h1", "h2", "salt")
     by_key = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("doc_id").desc_nulls_last(), "tk", "pos")
     firsts = ranged.withColumn("rank", F.rank().over(by_key)).withColumn("before", F.lag("doc_id").over(by_key)).filter(
@@ -95,19 +105,37 @@ def kept_text(text: Column, keep_words: Column) -> Column:
     )
 
 
+def _bit_set(flags: DataFrame) -> tuple[DataFrame, int]:
+    """(page, bits) of the documents in flags (doc_id, tk) by their hash, and the number of bits in all."""
+    wanted = 16 * flags.count()
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, wanted.bit_length()))
+    at = F.pmod(F.xxhash64("doc_id", "tk"), F.lit(size))
+    return flags.groupBy(F.floor(at / PAGE).alias("page")).agg(F.bitmap_construct_agg(at % PAGE).alias("bits")), size
+
+
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The input's columns, with ``text`` cut to the kept lines, and kept_from, n_lines, n_dropped."""
-    flags = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(
-        F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("keep_words").alias("_keep"), F.col("n_dropped").alias("_n")
-    )
-    joined = docs.join(flags, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left")
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return joined.select(
-        *rest,
-        kept_text(F.col("text"), F.col("_keep")).alias("text"),
-        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    """The input's columns, with ``text`` cut to the kept lines, and n_lines, n_dropped."""
+    flags = cut(keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    pages, size = _bit_set(flags)
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    own_id, own_tk, keep, n, at, page, bits = free_names(docs.columns, "_id", "_tk", "_keep", "_n", "_at", "_page", "_bits")
+
+    placed = docs.select(*map(quoted, rest), F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(size)).alias(at))
+    pages = F.broadcast(pages.withColumnsRenamed({"page": page, "bits": bits}))
+    marked = placed.join(pages, F.floor(F.col(at) / PAGE) == F.col(page), "left")
+    spot = F.col(at) % PAGE
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    concerned = F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))
+
+    flags = flags.withColumnsRenamed({"doc_id": own_id, "tk": own_tk, "keep_words": keep, "n_dropped": n})
+    moved = marked.filter(concerned).join(flags, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_tk)), "left")
+
+    def result(rows: DataFrame, keep_words: Column, dropped: Column) -> DataFrame:
+        counts = [F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped")]
+        return rows.select(*[kept_text(F.col("text"), keep_words).alias(c) if c == "text" else quoted(c) for c in rest], *counts)
+
+    whole = F.lit(None).cast("map<int,bigint>")
+    return result(moved, F.col(keep), F.col(n)).union(result(marked.filter(~concerned), whole, F.lit(0)))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.lineage import checkpoint_dir, cut
 from tidelog.shipping import ship
 
-__all__ = ["cut", "free_names", "map_in_arrow", "release", "share", "store", "table", "tidy"]
+__all__ = ["cut", "free_names", "map_in_arrow", "quoted", "release", "share", "store", "table", "tidy"]
 
 _shared: list[Broadcast] = []
 
@@ -44,6 +45,11 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again: a cut that stays compressed and columnar."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
