@@ -14,6 +14,9 @@ from tidelog.shipping import ship
 
 __all__ = ["cut", "free_names", "map_in_arrow", "quoted", "release", "share", "store", "table", "tidy"]
 
+BATCH_BYTES = 2 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _shared: list[Broadcast] = []
 
 
@@ -71,8 +74,14 @@ def tidy() -> None:
 
 
 def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors, which free their memory after each batch."""
+    """``df.mapInArrow`` with this package on the executors, which free their memory after each batch.
+
+    Batches are held to ``BATCH_BYTES``, unless the session sets a limit of its own: what
+    lies outside the heap, in the JVM and in a worker, is a few times that.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
     def run(batches):
         def each():
