@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import pyarrow as pa
+
 from tidelog.llm import licenses as S
 
 SCHEMA = "path string, text string, own_dir int"
@@ -27,15 +30,15 @@ def brute(files):
         lines = (text or "").split("\n")
         segments = [text or ""] if path and re.search(S.LICENCE_FILE, path) else []
         for k, line in enumerate(lines):
-            if set(words(line)) & set(S.ANCHORS):
-                i = j = k
-                while i and lines[i - 1]:
-                    i -= 1
-                while j + 1 < len(lines) and lines[j + 1]:
-                    j += 1
-                segments += [line, "\n".join(lines[i : j + 1])]
-        best = min(((-cosine(s, t), name) for s in segments for name, t in S.TEMPLATES), default=(0.0, ""))
-        own.append((-best[0], best[1] if -best[0] >= S.MIN_COSINE else None))
+            i = j = k
+            while i and words(lines[i - 1]):
+                i -= 1
+            while j + 1 < len(lines) and words(lines[j + 1]):
+                j += 1
+            segments += [line, "\n".join(lines[i : j + 1])] if words(line) else []
+        found = [(round(cosine(s, t), 12), name) for s in segments for name, t in S.TEMPLATES]
+        best = min(found, key=lambda x: (x[1] == S.RESERVED or x[0] < S.MIN_COSINE, -x[0], x[1]), default=(0.0, ""))
+        own.append(best if best[0] >= S.MIN_COSINE else (0.0, None))
     out = []
     for (path, _), (score, name) in zip(files, own, strict=True):
         found = (path, name, "own", path) if name else None
@@ -66,6 +69,35 @@ def test_matches_brute_force(spark):
     assert rows == brute(files)
 
 
+def test_notices_without_usual_words_and_whole_licences(spark):
+    mit = next(t for n, t in S.TEMPLATES if n == "MIT" and "WARRANTY" in t)
+    files = [
+        ("a/x", "intro\nThis work is available under the Creative Commons Attribution 4.0 International.\nend"),
+        ("b/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit.replace(". ", ".\n\n")),
+        ("b/y", "nothing"),
+    ]
+    rows = {r.path: (r.licence, r.found) for r in S.scan(spark.createDataFrame([(*f, 1) for f in files], SCHEMA)).collect()}
+    assert rows == {"a/x": ("CC-BY-4.0", "own"), "b/LICENSE": ("MIT", "own"), "b/y": ("MIT", "inherited")}
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["_whole", "_own_dir", "_dir", "_licence", "_from", "_at"]
+    frame = spark.createDataFrame([("d/LICENSE", "Released under the MIT License.", *names), ("d/x", None, *names)], ["path", "text", *names])
+    rows = {r.path: r for r in S.scan(frame).collect()}
+    assert rows["d/x"].licence == "MIT" and all(r[n] == n for r in rows.values() for n in names)
+
+
+def test_time_grows_with_the_lines():
+    scanner = S.Scanner(S.Templates(10, {}))
+    times = []
+    for n in (20_000, 100_000):
+        text = "licensed words in a line of text\n" * n
+        began = time.perf_counter()
+        scanner.own(pa.array([text]), [False])
+        times.append(time.perf_counter() - began)
+    assert times[1] < 12 * times[0]
+
+
 def test_repeated_rows_and_empty_table(spark):
     frame = spark.createDataFrame([("d/x", "Released under the MIT License.", 1)] * 2, SCHEMA)
     assert [(r.licence, r.found) for r in S.scan(frame).collect()] == [("MIT", "own")] * 2

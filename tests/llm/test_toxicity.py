@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ NAMES = {v: k for k, v in vars(X).items() if isinstance(v, int) and k.isupper()
 
 
 def grammar(*words):
-    return X.Grammar({(0, X._pack(w)): 1.0 for w in words})
+    return X.Grammar({(0, X.word_hash(w.encode())): 1.0 for w in words})
 
 
 def kinds(g, text):
@@ -65,6 +66,56 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def one_after_the_other(g, text, insults):
+    """Kinds of matched clauses, with plain words and the transducers run in turn."""
+    parts = [
+        X.Transducer.window(X.NEGATION, {X.INSULT: X.INSULT_DENIED, X.THREAT: X.THREAT_DENIED}, 3),
+        X.Transducer.window(X.REPORT, {X.INSULT: X.INSULT_REPORTED, X.THREAT: X.THREAT_REPORTED}, 10),
+        X.Transducer.window(X.TARGET, {X.INSULT: X.INSULT_AIMED}, 4),
+        X.Transducer.window(X.THREAT, {X.TARGET: X.THREAT_AIMED}, 3),
+    ]
+    counts = dict.fromkeys(X.KINDS, 0)
+    for clause in re.split(r"[\n!.:;?]", text.translate({c: c + 32 for c in range(65, 91)})):
+        row = []
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", clause):
+            kind = next((k for k, ws in ((X.TARGET, X.TARGETS), (X.NEGATION, X.NEGATIONS), (X.REPORT, X.REPORTS), (X.THREAT, X.THREATS)) if w in ws), X.OTHER)
+            row.append(X.INSULT if w in insults else kind)
+        row.append(X.END)
+        for p in parts:
+            row = p.run(row)
+        for k in set(row) & set(counts):
+            counts[k] += 1
+    return np.log1p(list(counts.values()))
+
+
+def test_features_match_a_plain_run():
+    rng = random.Random(4)
+    insults = ["fool", "extraordinarily", "extraordinaryfool", "bé"]
+    g = grammar(*insults)
+    words = [*insults, "extraordinar", "extraordinarilyso", "fools", *X.TARGETS[:3], *X.NEGATIONS[:3], *X.REPORTS[:3], *X.THREATS[:2], "plain", "words"]
+    texts = ["".join(rng.choice(words).upper() if rng.random() < 0.1 else rng.choice(words) for _ in [0]) for _ in range(20)]
+    texts += ["".join(x for _ in range(rng.randint(0, 40)) for x in (rng.choice(words), rng.choice([" ", " ", ", ", ". ", "\n", "? "]))) for _ in range(200)]
+    assert np.allclose(g.features(pa.array(texts)), [one_after_the_other(g, t, insults) for t in texts])
+
+
+def test_whole_words_and_all_stems_are_learned():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    shared = "understandings"
+    toxic = [f"{word()} {word()} understandingly {word()} {shared}" for _ in range(200)]
+    clean = [f"{word()} {word()} {shared} {word()} understanding" for _ in range(800)]
+    found = X.learn_stems(toxic, clean)
+    assert set(found) == {(0, X.word_hash(b"understandingly"))}
+    many = [f"zz{k:04d}q{word()}" for k in range(3000)]
+    toxic = [" ".join(f"{word()} {m}" for m in many[100 * (i % 30) : 100 * (i % 30 + 1)]) for i in range(900)]
+    assert len({k for w, k in X.learn_stems(toxic, [f"{word()} {word()}" for _ in range(3000)])}) >= 1
+
+
+def test_null_ids_are_not_held_out(spark):
+    docs = spark.createDataFrame([(None, "fool"), (1, "x")], "doc_id long, text string")
+    assert [r.held for r in docs.select(X.held_out(F.col("doc_id")).alias("held")).collect()] == [False, zlib.crc32(b"1") % 3 == 1]
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "fool " * 30000, "c"), (3, "fool " * 30000, "c")], "doc_id long, text string, score string")
     rows = sorted(X.score(docs, grammar("fool")).collect(), key=lambda r: r.doc_id)

@@ -40,9 +40,9 @@ def test_matches_brute_force(spark):
 
 
 def test_canonical(spark):
-    urls = ["http://www.A.org:80/b/?utm_source=x&z=1&a=2#f", "https://a.org/b?a=2&z=1", "a.org/b", None, "http://", "http://a.org/?ref=x"]
+    urls = ["http://www.A.org:80/b/?utm_source=x&z=1&a=2#f", "https://a.org/b?a=2&z=1", "a.org/b", None, "http://", "http://a.org/?ref=x", "http://a.org:443/", "https://a.org:443/", "https://a.org:80"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(W.canonical_url(F.col("url"))).collect()]
-    assert got == ["a.org/b?a=2&z=1", "a.org/b?a=2&z=1", None, None, "", "a.org"]
+    assert got == ["a.org/b?a=2&z=1", "a.org/b?a=2&z=1", None, None, "", "a.org?ref=x", "a.org:443", "a.org", "a.org:80"]
 
 
 def test_repeated_and_empty(spark):

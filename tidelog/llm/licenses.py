@@ -4,19 +4,23 @@ Words are runs of letters and digits, lower-cased. The weight of a word is its c
 times ln((1 + files) / (1 + files with the word)) + 1, over all files; words that no
 template has weigh as if one file had them. Compared are
 
-- in every file, each line and each paragraph (lines up to an empty one) that holds one
-  of the ``ANCHORS``, wherever it stands in the text,
+- in every file, each line and each paragraph (lines up to one without a word),
 - in licence files (``LICENSE``, ``COPYING``, ...), the whole text too.
 
-The best template counts from a cosine of ``MIN_COSINE`` on. Reserved rights are a result
+An index of the templates' words gives, for all lines and paragraphs of a batch at once,
+the share of their weight that lies on words of templates. The cosine can't be larger than
+the root of that share, so that only those which can reach ``MIN_COSINE`` are compared.
+
+The best template counts from a cosine of ``MIN_COSINE`` on; score is its cosine, else 0. Reserved rights are a result
 of their own, which inherits nothing; beside a licence that counts they are its usual
 opening, and the licence holds. A licence file gives its
 directory its licence; a file without a licence of its own takes that of the nearest
 directory above it, found by joining the distinct directories' ancestors with the
 directories that have one.
 
-Scale: both passes over texts are narrow and give a few numbers per file; word counts
-are added up map-side; the joins are on distinct directories, and the last one, of
+Scale: the passes over texts (one for the counts, one for the licences, and one for
+those of licence files alone) are narrow and give a few numbers per file, in a time in
+proportion to the text; word counts are added up map-side; the joins are on distinct directories, and the last one, of
 files with their directory, is left to Spark to broadcast or to split where a directory
 holds very many files.
 
@@ -24,7 +28,7 @@ Defined cases: null and empty texts have no licence of their own and inherit; a
 path is a file outside all directories, and no licence file; of several licence files
 of a directory the best cosine counts, then the smaller path; of templates that tie the
 smaller name; repeated rows get the same result each; an empty table gives no rows;
-columns of other names pass through, those that ``scan`` sets are replaced.
+other columns pass through, whatever their names, those that ``scan`` sets are replaced.
 """
 
 from __future__ import annotations
@@ -38,16 +42,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import cut, map_in_arrow, table
+from tidelog.llm.runtime import cut, free_names, map_in_arrow, share, table
 from tidelog.llm.textkit import ALNUM, Words, slices, word_hash
 
 MIN_COSINE = 0.75
-ANCHORS = ("licensed", "license", "licence", "licenced", "copyright", "redistribution", "permission", "spdx", "reserved")
 LICENCE_FILE = r"(^|/)(?i:licen[cs]e|copying|unlicense|notice)([.\-][^/]*)?$"
 RESERVED = "LicenseRef-All-Rights-Reserved"
 
-# Licence notices by SPDX name.
+# Licence notices by SPDX name, and whole licences where these are short.
+_GRANT_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES_BSD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER_BSD = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES = [
+    ("BSD-2-Clause", f"{_GRANT_BSD} {_DISCLAIMER_BSD}"),
+    ("BSD-3-Clause", f"{_GRANT_BSD} {_NAMES_BSD} {_DISCLAIMER_BSD}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -129,46 +140,41 @@ def file_counts(files: DataFrame, words: list[bytes]) -> tuple[int, dict[bytes,
 class Scanner:
     def __init__(self, templates: Templates) -> None:
         self.templates = templates
-        self.anchors = np.sort(np.array([word_hash(a.encode()) for a in ANCHORS], dtype=np.uint64))
+        words = list(templates.idf)
+        hashes = np.array([word_hash(w) for w in words], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.idf = hashes[order], np.array([templates.idf[w] for w in words])[order]
 
     def own(self, texts: pa.Array, whole: list[bool]) -> list[tuple[float, str | None]]:
-        """By text, the best (cosine, licence); None below MIN_COSINE."""
+        """By text, the best (cosine, licence) that counts; (0, None) without one."""
         words = Words(texts, ALNUM)
         best = [(0.0, "")] * len(texts)
         if len(words):
             h = words.hashes()
-            at = np.minimum(np.searchsorted(self.anchors, h), len(self.anchors) - 1)
-            newlines = np.flatnonzero(words.raw == 0x0A)
-            seen = set()
-            for k in np.flatnonzero(self.anchors[at] == h).tolist():
-                row = int(words.row[k])
-                for a, b in self._segments(words, newlines, int(words.start[k]), int(words.offsets[row]), int(words.offsets[row + 1])):
-                    if (a, b) not in seen:
-                        seen.add((a, b))
-                        self._compare(words, row, np.searchsorted(words.start, a), np.searchsorted(words.start, b), best)
-            for row in np.flatnonzero(whole).tolist():
-                self._compare(words, row, words.first[row], words.first[row + 1], best)
-        return [(s, n) if s >= MIN_COSINE else (s, None) for s, n in best]
-
-    @staticmethod
-    def _segments(words: Words, newlines: np.ndarray, at: int, low: int, high: int) -> Iterator[tuple[int, int]]:
-        """The line around a byte, and its paragraph, as byte ranges within [low, high)."""
-        after = int(np.searchsorted(newlines, at))
-        start = max(low, int(newlines[after - 1]) + 1) if after else low
-        end = min(high, int(newlines[after])) if after < len(newlines) else high
-        yield start, end
-        own = newlines[np.searchsorted(newlines, low) : np.searchsorted(newlines, high)]
-        edges = [low - 1, *own.tolist(), high]  # lines lie between neighbours
-        k = int(np.searchsorted(edges, at)) - 1
-        i = j = k
-        while i > 0 and edges[i] - edges[i - 1] > 1:
-            i -= 1
-        while j + 2 < len(edges) and edges[j + 2] - edges[j + 1] > 1:
-            j += 1
-        yield edges[i] + 1, edges[j + 1]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            line = np.cumsum(words.raw == 0x0A, dtype=np.int64)[words.start]
+            other_text = words.row[1:] != words.row[:-1]
+            ranges = {(int(words.first[r]), int(words.first[r + 1])) for r in np.flatnonzero(whole).tolist()}
+            for lines in (1, 2):  # so many line ends part two lines, or two paragraphs
+                begins = np.append(True, other_text | (line[1:] - line[:-1] >= lines))
+                ranges.update(self._can_count(begins, at, known))
+            for a, b in sorted(ranges):
+                if a < b:
+                    self._compare(words, int(words.row[a]), a, b, best)
+        return [(s, n) if s >= MIN_COSINE else (0.0, None) for s, n in best]
+
+    def _can_count(self, begins: np.ndarray, at: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The segments (word ranges) of whose weight enough lies on words of templates."""
+        segment, starts = np.cumsum(begins) - 1, np.append(np.flatnonzero(begins), len(begins))
+        keys, n = np.unique(segment[known] * len(self.hashes) + at[known], return_counts=True)
+        on = np.bincount(keys // len(self.hashes), weights=(n * self.idf[keys % len(self.hashes)]) ** 2, minlength=len(starts) - 1)
+        off = np.bincount(segment[~known], minlength=len(starts) - 1) * self.templates.other**2  # at least
+        for k in np.flatnonzero((on > 0) & (on >= (MIN_COSINE**2 - 1e-9) * (on + off))).tolist():
+            yield int(starts[k]), int(starts[k + 1])
 
     def _compare(self, words: Words, row: int, a: int, b: int, best: list) -> None:
-        bag = Counter(words.raw[words.start[k] : words.end[k]].tobytes() for k in range(a, b))
+        bag = Counter(words.word(k) for k in range(a, b))
         score, name = self.templates.best(bag)
         if rank(score, name) < rank(*best[row]):
             best[row] = (score, name)
@@ -182,12 +188,13 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """The columns of files (with path, text), and own_licence, score, licence, found (own, inherited or none), from_path."""
     count, with_word = file_counts(files, vocabulary(templates))
-    shared = files.sparkSession.sparkContext.broadcast(Scanner(Templates(count, with_word, templates)))
+    shared = share(files.sparkSession, Scanner(Templates(count, with_word, templates)))
+    whole, own_dir, at, from_, given = free_names([*files.columns, "own_licence", "score", "licence", "found", "from_path"], "_whole", "_own_dir", "_dir", "_from", "_licence")
     marked = files.withColumns(
         {
             "own_licence": F.lit(None).cast("string"),
             "score": F.lit(0.0),
-            "_whole": F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)),
+            whole: F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)),
         }
     )
 
@@ -195,41 +202,40 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Data
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                found = shared.value.own(part.column("text"), part.column("_whole").to_pylist())
+                found = shared.value.own(part.column("text"), part.column(whole).to_pylist())
                 for k, (name, kind) in enumerate((("score", pa.float64()), ("own_licence", pa.string()))):
-                    at = part.schema.get_field_index(name)
-                    part = part.set_column(at, part.schema.field(at), pa.array([f[k] for f in found], kind))
+                    i = part.schema.get_field_index(name)
+                    part = part.set_column(i, part.schema.field(i), pa.array([f[k] for f in found], kind))
                 yield part
 
     scanned = map_in_arrow(marked, run, marked.schema)
-    return inherit(scanned).drop("_whole")
+    givers = marked.filter(F.col(whole)).select("path", "text", "own_licence", "score", whole)
+    givers = map_in_arrow(givers, run, givers.schema).filter("own_licence is not null").select("path", "own_licence", "score")
+    nearest = nearest_givers(files.filter("path is not null").select(directory(F.col("path")).alias("dir")).distinct(), givers)
+    joined = scanned.withColumn(own_dir, directory(F.col("path"))).join(nearest.toDF(at, from_, given), F.col(own_dir) == F.col(at), "left")
+    own = F.col("own_licence").isNotNull()
+    return joined.withColumns(
+        {
+            "licence": F.coalesce("own_licence", given),
+            "found": F.when(own, "own").when(F.col(given).isNotNull(), "inherited").otherwise("none"),
+            "from_path": F.when(own, F.col("path")).otherwise(F.col(from_)),
+        }
+    ).drop(whole, own_dir, at, from_, given)
 
 
-def inherit(scanned: DataFrame) -> DataFrame:
-    """Licence, found and from_path of files (path, own_licence, score, _whole)."""
-    givers = scanned.filter(F.col("_whole") & F.col("own_licence").isNotNull()).select(
-        directory(F.col("path")).alias("_at"), F.struct(-F.col("score"), F.col("path").alias("path"), F.col("own_licence").alias("licence")).alias("g")
-    )
-    given = cut(givers.groupBy("_at").agg(F.min("g").alias("g")))
-    places = scanned.filter("path is not null").select(directory(F.col("path")).alias("_dir")).distinct()
-    parts = F.split("_dir", "/")
+def nearest_givers(places: DataFrame, givers: DataFrame) -> DataFrame:
+    """(dir, path, licence): for directories (dir), the licence file of the nearest of them and those above; givers: (path, own_licence, score)."""
+    best = F.min(F.struct(-F.col("score"), F.col("path").alias("path"), F.col("own_licence").alias("licence"))).alias("g")
+    given = cut(givers.groupBy(directory(F.col("path")).alias("at")).agg(best))
+    parts = F.split("dir", "/")
     above = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     nearest = (
-        places.select("_dir", above.alias("_at"))
-        .join(given, "_at")  # very many directories share an ancestor: both sides are shuffled anew, so that Spark may split it
-        .groupBy("_dir")
-        .agg(F.max_by("g", F.length("_at")).alias("g"))
+        places.select("dir", above.alias("at"))
+        .join(given, "at")  # very many directories share an ancestor: both sides are shuffled anew, so that Spark may split it
+        .groupBy("dir")
+        .agg(F.max_by("g", F.length("at")).alias("g"))
     )
-    nearest = cut(nearest.select("_dir", F.col("g.path").alias("_from"), F.col("g.licence").alias("_licence")))
-    joined = scanned.withColumn("_own_dir", directory(F.col("path"))).join(nearest, F.col("_own_dir") == F.col("_dir"), "left")
-    own = F.col("own_licence").isNotNull()
-    return joined.withColumns(
-        {
-            "licence": F.coalesce("own_licence", "_licence"),
-            "found": F.when(own, "own").when(F.col("_licence").isNotNull(), "inherited").otherwise("none"),
-            "from_path": F.when(own, F.col("path")).otherwise(F.col("_from")),
-        }
-    ).drop("_own_dir", "_dir", "_from", "_licence")
+    return cut(nearest.select("dir", "g.path", "g.licence"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ runs through once. What comes out are weighted clause matches; their sums by kin
 the inputs of a logistic score.
 
 Which word stems are insults is learned: byte prefixes of 4 to 8 bytes, and whole
-words of up to 7, that stand in labelled toxic texts in more different settings than
+words of any length (by a 64-bit hash), that stand in labelled toxic texts in more different settings than
 chance explains, and hardly in any other. Words of the closed
 classes (targets, negations, reports, threats) are fixed values. Training reads a
 bounded sample: about ``SAMPLE_DOCS`` labelled documents of each label, by a hash of
@@ -19,8 +19,8 @@ threat walk the table.
 
 Defined cases: null and empty texts, and texts without a match, get the score of no
 match; of several labels of a document the highest counts; without usable labels the
-lexicon is empty and the fixed weights hold; repeated rows are scored alike; an empty
-table gives no rows; other columns pass through, those that ``score`` sets are replaced.
+lexicon is empty and the fixed weights hold; rows without a doc_id are scored, not held
+out, and not trained on; repeated rows are scored alike; an empty table gives no rows; other columns pass through, those that ``score`` sets are replaced.
 """
 
 from __future__ import annotations
@@ -32,12 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.runtime import map_in_arrow, table
-from tidelog.llm.textkit import ALNUM, Words, slices
+from tidelog.llm.runtime import map_in_arrow, share, table
+from tidelog.llm.textkit import ALNUM, Words, slices, word_hash
 
 SAMPLE_DOCS = 3000
 SAMPLE_TEXT_BYTES = 32768
-MAX_STEMS = 2000
 CUT_OFF = 0.7
 
 # Words of the closed classes, lower-case.
@@ -107,23 +106,14 @@ def grammar() -> Transducer:
     return deny.then(report).then(aim).then(meet)
 
 
-def _pack(word: str | bytes) -> int:
-    word = word if isinstance(word, bytes) else word.encode()
-    return int.from_bytes(word[:8].ljust(8, b"\0"), "big")
+def _mask(width: int) -> np.uint64:
+    """Keeps the first ``width`` bytes of a head."""
+    return np.uint64((1 << (8 * width)) - 1)
 
 
 def heads(words: Words) -> np.ndarray:
     """The first eight bytes of each word as a number, zeros behind a shorter one."""
-    out = np.zeros(len(words), dtype=np.uint64)
-    size = words.end - words.start
-    for i in range(8):
-        has = size > i
-        out[has] |= words.raw[words.start[has] + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-    return out
-
-
-def _mask(width: int) -> np.uint64:
-    return np.uint64(((1 << 64) - 1) ^ ((1 << (64 - 8 * width)) - 1))
+    return words.eight(words.start, words.end - words.start)
 
 
 def _in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -136,26 +126,26 @@ def _in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 class Grammar:
     """The stems, the composed transducer and the weights: what a worker needs.
 
-    stems: {(width, head): weight}, width 0 for a whole word.
+    stems: {(width, head): weight}, and {(0, hash): weight} for whole words.
     """
 
     def __init__(self, stems: dict[tuple[int, int], float], weights: np.ndarray | None = None, bias: float = PRIOR_BIAS) -> None:
         self.stems = {w: np.sort(np.array([h for k, h in stems if k == w], dtype=np.uint64)) for w in (0, *WIDTHS)}
         self.strength = stems
-        self.closed = [(c, np.sort(np.array([_pack(w) for w in ws], dtype=np.uint64))) for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS))]
+        self.closed = [(c, np.sort(np.array([word_hash(w.encode()) for w in ws], dtype=np.uint64))) for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS))]
         self.table = grammar()
         self.weights = np.array(list(KINDS.values())) if weights is None else weights
         self.bias = bias
 
-    def insults(self, head: np.ndarray, size: np.ndarray) -> np.ndarray:
-        found = _in(head, self.stems[0]) & (size < 8)
+    def insults(self, head: np.ndarray, whole: np.ndarray, size: np.ndarray) -> np.ndarray:
+        found = _in(whole, self.stems[0])
         for w in WIDTHS:
             if len(self.stems[w]):
                 found |= _in(head & _mask(w), self.stems[w]) & (size >= w)
         return found
 
-    def _strength(self, head: int, size: int) -> float:
-        own = [self.strength[k] for k in [(0, head), *[(w, head & int(_mask(w))) for w in WIDTHS if size >= w]] if k in self.strength]
+    def _strength(self, head: int, whole: int, size: int) -> float:
+        own = [self.strength[k] for k in [(0, whole), *[(w, head & int(_mask(w))) for w in WIDTHS if size >= w]] if k in self.strength]
         return max(own, default=1.0)
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -164,11 +154,11 @@ class Grammar:
         out = np.zeros((len(texts), len(KINDS)))
         if not len(words):
             return out
-        head, size = heads(words), words.end - words.start
+        head, whole, size = heads(words), words.hashes(), words.end - words.start
         symbol = np.zeros(len(words), dtype=np.int8)
         for c, known in self.closed:
-            symbol[_in(head, known) & (size < 9)] = c
-        symbol[self.insults(head, size)] = INSULT
+            symbol[_in(whole, known)] = c
+        symbol[self.insults(head, whole, size)] = INSULT
         hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
         if not len(hits):
             return out
@@ -183,7 +173,7 @@ class Grammar:
             best: dict[int, float] = {}
             for i, put in enumerate(self.table.run([*symbol[a:b].tolist(), END])):
                 if put in kinds:
-                    power = self._strength(int(head[a + i]), int(size[a + i])) if symbol[a + i] == INSULT else 1.0
+                    power = self._strength(int(head[a + i]), int(whole[a + i]), int(size[a + i])) if symbol[a + i] == INSULT else 1.0
                     best[put] = max(best.get(put, 0.0), power)
             for put, power in best.items():
                 out[words.row[a], kinds[put]] += power
@@ -193,20 +183,20 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights + self.bias, -30, 30)))
 
 
-def _occurrences(texts: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, key, head of the word before) of the words that have a stem of this width (0: whole words)."""
+def _occurrences(texts: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, key, hash of the word before, head) of the words that have a stem of this width (0: whole words)."""
     for a in range(0, len(texts), 256):
         words = Words(pa.array(texts[a : a + 256], pa.string()), ALNUM)
-        head, size = heads(words), words.end - words.start
-        before = np.concatenate([np.zeros(1, dtype=np.uint64), head])[: len(head)]
-        fits = (size < 8) & (size > 2) if width == 0 else size >= width
-        yield words.row[fits] + a, (head if width == 0 else head & _mask(width))[fits], before[fits]
+        head, whole, size = heads(words), words.hashes(), words.end - words.start
+        before = np.concatenate([np.zeros(1, dtype=np.uint64), whole])[: len(head)]
+        fits = size > 2 if width == 0 else size >= width
+        yield words.row[fits] + a, (whole if width == 0 else head & _mask(width))[fits], before[fits], head[fits]
 
 
 def _texts_by_key(texts: list[str], width: int, keys: np.ndarray) -> np.ndarray:
     """By key (sorted), the number of texts with it."""
     out = np.zeros(len(keys), dtype=np.int64)
-    for row, key, _ in _occurrences(texts, width):
+    for row, key, _, _ in _occurrences(texts, width):
         known = _in(key, keys)
         both = np.unique(np.stack([row[known], np.searchsorted(keys, key[known])]), axis=1)
         out += np.bincount(both[1], minlength=len(keys))
@@ -226,25 +216,31 @@ def learn_stems(toxic: list[str], clean: list[str]) -> dict[tuple[int, int], flo
     n_pos, n_neg = len(toxic), len(clean)
     settings = max(3, int(np.ceil(np.log(1e7) / np.log((n_pos + n_neg) / n_pos))))
     found: dict[tuple[int, int], tuple[int, int]] = {}
+    head_of: dict[int, int] = {}
     for width in (*WIDTHS, 0):
-        pairs = [np.unique(np.stack([key, before]), axis=1) for _, key, before in _occurrences(toxic, width)]
+        pairs = []
+        for _, key, before, head in _occurrences(toxic, width):
+            pairs.append(np.unique(np.stack([key, before]), axis=1))
+            if width == 0:
+                head_of.update(zip(key.tolist(), head.tolist(), strict=True))
         keys, n = np.unique(np.unique(np.concatenate(pairs, axis=1), axis=1)[0], return_counts=True)
         keys = keys[n >= settings]
         positives, negatives = _texts_by_key(toxic, width, keys), _texts_by_key(clean, width, keys)
         pure = (positives >= settings) & (negatives * n_pos <= 0.02 * positives * n_neg)
         found |= {(width, k): (p, q) for k, p, q in zip(keys[pure].tolist(), positives[pure].tolist(), negatives[pure].tolist(), strict=True)}
+    head = lambda width, key, w: (key if width else head_of[key]) & int(_mask(w))
     spotless: dict[tuple[int, int], int] = {}  # texts with longer stems that no clean text has
     for (width, key), (p, q) in found.items():
         for w in WIDTHS:
             if q == 0 and w < (width or 9):
-                spotless[w, key & int(_mask(w))] = max(p, spotless.get((w, key & int(_mask(w))), 0))
+                spotless[w, head(width, key, w)] = max(p, spotless.get((w, head(width, key, w)), 0))
     chosen: dict[tuple[int, int], float] = {}
     for (width, key), (p, q) in found.items():
         longer_is_better = q > 0 and spotless.get((width, key), 0) >= 0.6 * p
-        if not longer_is_better and not any((w, key & int(_mask(w))) in chosen for w in WIDTHS if w < (width or 9)):
+        if not longer_is_better and not any((w, head(width, key, w)) in chosen for w in WIDTHS if w < (width or 9)):
             chosen[width, key] = float(np.log((p + 0.5) / (q + 0.5) * n_neg / n_pos))
     top = max(chosen.values(), default=1.0)
-    return {k: max(0.3, v / top) for k, v in sorted(chosen.items(), key=lambda x: -x[1])[:MAX_STEMS]}
+    return {k: max(0.3, v / top) for k, v in chosen.items()}
 
 
 def fit(features: np.ndarray, toxic: np.ndarray, pull: float = 0.3) -> tuple[np.ndarray, float]:
@@ -264,7 +260,7 @@ def fit(features: np.ndarray, toxic: np.ndarray, pull: float = 0.3) -> tuple[np.
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
@@ -272,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     The sample is drawn from the labels, so that only its documents' texts move.
     """
-    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isin(0, 1))
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isin(0, 1))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Grammar({})
@@ -294,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 def score(docs: DataFrame, grammar: Grammar, to: str = "score") -> DataFrame:
     """The columns of docs (with text), and the score."""
     out = docs.withColumn(to, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    shared = share(docs.sparkSession, grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,12 +32,14 @@ BLOCKS = 64
 
 # Header fields that a 304 response may update, and query keys that only track.
 UPDATABLE = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "server", "vary", "warning"]
-TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
+TRACKING = r"^(utm_[a-z]+|fbclid|gclid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
     """Host without www. and default port, path without a last slash, other query parts sorted; null without ``://``."""
-    host = F.regexp_replace(F.regexp_replace(url_host(url), r"^www\.", ""), r":(80|443)$", "")
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    host = F.regexp_replace(url_host(url), r"^www\.", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_replace(url_path(url), r"/+$", "")
     query = F.regexp_extract(url_rest(url), r"^[^?#]*\?([^#]*)", 1)
     parts = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
@@ -165,10 +167,10 @@ urls AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query
   FROM base),
 named AS (
-  SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
+  SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), CASE lower(split_part(url, '://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '$^' END, '') || regexp_replace(path, '/+$', '') ||
          CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical
   FROM (SELECT *, coalesce(array_to_string(list_sort(list_filter(string_split(query, '&'),
-                 lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&'), '') AS q FROM urls)),
+                 lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid)(=|$)'))), '&'), '') AS q FROM urls)),
 responses AS (
   SELECT page_id * 2 AS record_id, canonical, t0 AS ts, tag AS etag, CASE WHEN k = '4' THEN size END AS lm, size FROM named),
 revisits AS (
