@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only without one (tests) a local folder is made."""
+    """The cluster's ``spark.checkpoint.dir``; without one a local folder is made, but only where all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.sparkContext.getCheckpointDir()
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     if found is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
