@@ -174,3 +174,59 @@ def test_poll(spark):
     topics = spark.createDataFrame([(1, 2), (2, None), (3, 7)], "tenant long, since long")
     assert [(r.tenant, r.kind, r.id) for r in changes.poll(rows, topics).collect()] == [(1, "removed", "a")]
     assert {r.tenant: r.cursor for r in changes.poll_cursors(rows, topics).collect()} == {1: 3, 2: 1, 3: 7}
+
+
+def test_an_index_entry_without_a_record_is_an_error(spark):
+    from tidelog.operators.navigate import resolve
+
+    index, records = spark.createDataFrame([(1,), (2,)], "a long"), spark.createDataFrame([(1, "x")], "k long, v string")
+    assert resolve(index.filter("a = 1"), records, "a", "k").count() == 1
+    for read in (lambda df: df.count(), lambda df: df.select("a").collect()):
+        try:
+            read(resolve(index, records, "a", "k"))
+        except Exception as error:
+            assert "record missing: 2" in str(error)
+        else:
+            raise AssertionError("no error")
+
+
+def test_numbers_and_instants_of_one_large_tenant(spark):
+    import random
+
+    from tidelog.operators.order import listed, ranked
+    from tidelog.operators.writes import mint_instants
+
+    rng = random.Random(1)
+    data = [(None if i % 50 == 0 else int(rng.random() < 0.1), rng.randrange(500), i) for i in range(800)]
+    rows = spark.createDataFrame(data, "tenant long, clock long, i long").repartition(5)
+    last, want, numbers = {}, {}, {}
+    for tenant, clock, i in data:
+        last[tenant] = max(clock, last.get(tenant, 100) + 1)
+        numbers[tenant] = numbers.get(tenant, 0) + 1
+        want[i] = (last[tenant], numbers[tenant])
+    minted = mint_instants(rows, "clock", ["i"], F.lit(100).cast("long"))
+    numbered = ranked(minted, [F.asc("i")], "n", within=("tenant",)).collect()
+    assert {r.i: (r.instant, r.n) for r in numbered} == want
+    assert [r.i for r in listed(rows, [F.desc("i")], offset=790).collect()] == list(range(9, -1, -1))
+
+
+def test_a_watch_goes_on_where_it_ended(spark, tmp_path):
+    from tidelog.streaming.watch import replay
+
+    log = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id) as ts, id as event_id, id % 40 as user_id, if(id % 7 = 0, 'error', 'view') as event_type from range(600)")
+    folder = str(tmp_path / "log")
+    shown = lambda rows: sorted({r.user_id: r.event_id for r in sorted(rows.collect(), key=lambda r: r.event_id) if r.event_type != "error"}.items())
+    alive = lambda rows: {r.user_id for r in rows.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).filter("last <> 'error'").collect()}
+    for low, high in ((0, 300), (300, 600)):
+        log.filter((F.col("event_id") >= low) & (F.col("event_id") < high)).repartition(3).write.mode("append").parquet(folder)
+        read = log.filter(F.col("event_id") < high)
+        got = sorted(tuple(r) for r in replay(spark, folder, name=f"test_{tmp_path.name}").collect())
+        assert got == [x for x in shown(read) if x[0] in alive(read)]
+
+
+def test_census(spark, tmp_path):
+    from tidelog.sources.tables import census
+
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
+    rows = census(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert len(rows) == 3 and sum(r.rows for r in rows) == 100 and all(r.bytes > 0 and r.blocks == 1 for r in rows)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.order import ranked
+
 KEY = ["tenant", "id"]
 ORDER = ["instant", "seq"]
 
@@ -81,9 +83,8 @@ def as_of(log: DataFrame, instant: Column) -> DataFrame:
 
 
 def recency(log: DataFrame) -> DataFrame:
-    """Living records with ``n``, 1 for the most recently written of its tenant."""
-    order = Window.partitionBy("tenant").orderBy(F.desc("instant"), F.desc("seq"))
-    return live(log).withColumn("n", F.row_number().over(order))
+    """Living records with ``n``, 1 for the most recently written of its tenant; a tenant may span any number of tasks."""
+    return ranked(live(log), [F.desc("instant"), F.desc("seq")], "n", within=("tenant",))
 
 
 def instant_floor(log: DataFrame) -> DataFrame:

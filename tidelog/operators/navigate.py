@@ -14,8 +14,10 @@ def member_values(rows: DataFrame, member: Column, values: list[str]) -> DataFra
 
 
 def resolve(index: DataFrame, records: DataFrame, anchor: str, key: str) -> DataFrame:
-    """Each index entry with the record that it points to."""
-    return index.join(records, F.col(anchor) == F.col(key))
+    """Each index entry with the record that it points to; an entry without a record is an error."""
+    missing = F.raise_error(F.concat(F.lit("record missing: "), F.coalesce(F.col(anchor).cast("string"), F.lit("null"))))
+    joined = index.join(records.withColumn("_found", F.lit(True)), F.col(anchor) == F.col(key), "left")
+    return joined.filter(F.coalesce(F.col("_found"), missing.cast("boolean"))).drop("_found")
 
 
 def follow(holders: DataFrame, children: DataFrame, pivot: str, child_pivot: str) -> DataFrame:

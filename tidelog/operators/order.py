@@ -69,21 +69,55 @@ def by(rows: DataFrame, fields: list[str], bound: Bound) -> DataFrame:
 
 
 def listed(rows: DataFrame, order: list[Column], offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows in order from ``offset`` on, at most ``limit``; a page past the end, or of limit 0, is empty."""
-    out = rows.orderBy(*order)
+    """Rows in order from ``offset`` on, at most ``limit``; a page past the end, or of limit 0, is empty.
+
+    With a limit each task keeps its best ``offset + limit`` rows. Without one the rows are
+    numbered where they are, so that what follows the offset never passes through one task.
+    """
+    if limit is not None:
+        out = rows.orderBy(*order)
+        return (out.offset(offset) if offset else out).limit(limit)
     if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
-
-
-def ranked(rows: DataFrame, order: list[Column], to: str = "n") -> DataFrame:
-    """Rows with their number in the order, from 1."""
-    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    numbered = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"))
-    before = F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("_part").alias("_of"), before.alias("_before"))
-    return numbered.join(starts, F.col("_part") == F.col("_of")).withColumn(to, F.col("_before") + F.col("_in")).drop("_part", "_in", "_of", "_before")
+        rows = ranked(rows, order, "_at").filter(F.col("_at") > offset).drop("_at")
+    return rows.orderBy(*order)
+
+
+def ranked(rows: DataFrame, order: list[Column], to: str = "n", within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their number in the order, from 1; ``within`` groups of these columns, whatever their sizes."""
+    return placed(rows, order, to, within).drop("_part")
+
+
+def placed(rows: DataFrame, order: list[Column], to: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``ranked``, with the range partition of each row as ``_part``."""
+    parts = cut(rows.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id()))
+    numbered = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *within).orderBy(*order)))
+    counts = parts.groupBy("_part", *within).agg(F.count(F.lit(1)).alias("_count"))
+    before = F.coalesce(F.sum("_count").over(_earlier(within)), F.lit(0))
+    starts = counts.select("_part", *within, before.alias("_before"))
+    return by_part(numbered, starts, within).withColumn(to, F.col("_before") + F.col("_in")).drop("_in", "_before")
+
+
+def _earlier(within: tuple[str, ...]):
+    """The rows of earlier partitions, in a table of one row for each group and partition."""
+    return Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_part(rows: DataFrame, values: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """Rows with the values of their group and partition (left out: those without)."""
+    keys = ["_part", *within]
+    renamed = values.withColumnsRenamed({k: f"{k}_of" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    return rows.join(renamed, _all(same)).drop(*[f"{k}_of" for k in keys])
+
+
+def running_max(rows: DataFrame, value: Column, order: str, within: tuple[str, ...], to: str) -> DataFrame:
+    """Rows of ``placed`` with the largest value up to each in its group: within its partition, or carried over from those before."""
+    own = rows.withColumn("_value", value)
+    tops = own.groupBy("_part", *within).agg(F.max("_value").alias("_top"))
+    carried = tops.select("_part", *within, F.max("_top").over(_earlier(within)).alias("_carried"))
+    upto = Window.partitionBy("_part", *within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    near = own.withColumn("_near", F.max("_value").over(upto))
+    return by_part(near, carried, within).withColumn(to, F.greatest("_near", "_carried")).drop("_value", "_near", "_carried")
 
 
 def last_key(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.log import KEY, ORDER, at, get, latest
+from tidelog.operators.order import placed, running_max
 
-__all__ = ["adopt", "conflicts", "guarded_batch", "key_mismatch", "mint_instants", "missing", "overlay", "removals", "revivals", "upsert"]
+__all__ = ["adopt", "conflicts", "guarded_batch", "insert", "key_mismatch", "mint_instants", "missing", "overlay", "removals", "revivals", "upsert"]
 
 
 def overlay(base: DataFrame, staged: DataFrame, on: list[str]) -> DataFrame:
@@ -68,9 +69,22 @@ def mint_instants(rows: DataFrame, clock: str, arrival: list[str], floor: Column
     """Rows with instants above the floor of their tenant, each the clock's or one more than the one before.
 
     In order of arrival m(i) = max(clock(i), m(i - 1) + 1), m(0) = floor, which is
-    i + max(floor, max over j <= i of clock(j) - j): a running maximum.
+    i + max(floor, max over j <= i of clock(j) - j): a running maximum, taken within range
+    partitions and carried over from one to the next, so that no tenant is gathered.
     """
-    order = Window.partitionBy("tenant").orderBy(*arrival)
-    numbered = rows.withColumn("_i", F.row_number().over(order).cast("long"))
-    ahead = F.max(F.col(clock) - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn(to, F.col("_i") + F.greatest(floor, ahead)).drop("_i")
+    numbered = placed(rows, [F.col(c) for c in arrival], "_i", ("tenant",))
+    ahead = running_max(numbered, F.col(clock) - F.col("_i"), "_i", ("tenant",), "_ahead")
+    return ahead.withColumn(to, F.col("_i") + F.greatest(floor, "_ahead")).drop("_i", "_ahead", "_part")
+
+
+def insert(log: DataFrame, arriving: DataFrame, clock: str, arrival: list[str]) -> DataFrame:
+    """New records (tenant, body columns, clock): saved rows with ids and instants minted above what each tenant has.
+
+    A record's id is its instant, so that no two records of a tenant share one; the
+    result has the columns of the log, null where ``arriving`` has none.
+    """
+    floors = log.groupBy("tenant").agg(F.max(F.greatest("id", "instant")).alias("_floor"))
+    known = arriving.join(floors, "tenant", "left").withColumn("_floor", F.coalesce("_floor", F.lit(0)).cast("long"))
+    minted = mint_instants(known, clock, arrival, F.col("_floor"))
+    own = {"id": F.col("instant"), "seq": F.col("instant"), "op": F.lit("saved")}
+    return minted.withColumns(own).select(*[F.col(c) if c in {*minted.columns, *own} else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns])

@@ -231,6 +231,37 @@ def atomic_batch(spark, d):
     return writes.guarded_batch(rows, rows, _guards(rows)).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {LOG} SELECT event_type, count(*) AS n FROM (SELECT event_type FROM log UNION ALL SELECT event_type FROM log WHERE op = 'saved') GROUP BY event_type""")
+def atomic_batch_accepted(spark, d):
+    rows = event_log(spark, d)
+    now = log.latest(rows).select("tenant", "id", F.col("seq").alias("expected"))
+    return writes.guarded_batch(rows, rows.filter("op = 'saved'"), now).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH log AS (SELECT o_custkey % 16 AS tenant, o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'),
+floors AS (SELECT tenant, max(id) AS floor FROM log GROUP BY tenant),
+c AS (SELECT o.o_custkey % 16 AS tenant, o_totalprice, o_orderkey * 3 % 1000 AS clock, coalesce(floor, 0) AS floor,
+             row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderdate, o_orderkey) AS i
+      FROM orders o LEFT JOIN floors f ON f.tenant = o.o_custkey % 16 WHERE o_orderpriority <> '1-URGENT'),
+m AS (SELECT tenant, o_totalprice AS price, i + greatest(floor, max(clock - i) OVER (PARTITION BY tenant ORDER BY i)) AS id FROM c)
+SELECT tenant, id, id AS instant, id AS seq, 'saved' AS op, price FROM m""")
+def insert_minted(spark, d):
+    rows = table(spark, d, "orders").withColumn("tenant", F.col("o_custkey") % 16)
+    own = rows.filter("o_orderpriority = '1-URGENT'").select("tenant", F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("instant"), F.col("o_orderkey").alias("seq"), F.lit("saved").alias("op"), F.col("o_totalprice").alias("price"))
+    new = rows.filter("o_orderpriority <> '1-URGENT'").select("tenant", F.col("o_totalprice").alias("price"), (F.col("o_orderkey") * 3 % 1000).alias("clock"), "o_orderdate", "o_orderkey")
+    return writes.insert(own, new, "clock", ["o_orderdate", "o_orderkey"])
+
+
+@query()
+def file_census(spark, d):
+    """Files of the tables with their sizes, blocks read and rows; SQL over the views knows no files."""
+    from functools import reduce
+
+    from tidelog.sources.tables import census
+
+    return reduce(DataFrame.unionByName, [census(table(spark, d, n)).withColumn("table", F.lit(n)) for n in ("events", "orders", "documents")])
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def adopt_idempotent(spark, d):
     rows = event_log(spark, d)

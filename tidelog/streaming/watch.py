@@ -37,13 +37,15 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def watch(rows: DataFrame, tenant: int | None = None) -> DataFrame:
-    """Living records of a stream of log rows: the newest saved version each, in complete mode."""
+    """State by record of a stream of log rows: the newest saved version and the newest operation; in update mode, the records that changed."""
     own = rows if tenant is None else rows.filter(F.col("tenant") == tenant)
     at = F.struct("instant", "seq")
-    state = own.groupBy("tenant", "id").agg(
-        F.max(F.when(F.col("op") == "saved", at)).alias("saved"), F.max_by("op", at).alias("last")
-    )
-    return state.filter("saved is not null and last = 'saved'").select("tenant", "id", F.col("saved.seq").alias("seq"))
+    return own.groupBy("tenant", "id").agg(F.max(F.when(F.col("op") == "saved", at)).alias("saved"), F.max_by("op", at).alias("last"))
+
+
+def living(states: DataFrame) -> DataFrame:
+    """The records whose state shows them alive, by their newest saved version."""
+    return states.filter("saved is not null and last = 'saved'").select("tenant", "id", F.col("saved.seq").alias("seq"))
 
 
 def deduplicated(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -52,14 +54,33 @@ def deduplicated(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.withWatermark("at", delay).dropDuplicatesWithinWatermark(["tenant", "id", "seq"])
 
 
-def replay(spark: SparkSession, path: str, tenant: int | None = None) -> DataFrame:
-    """Run a watch over all that a log holds now, and give what it shows at the end."""
-    name = f"watch_{uuid.uuid4().hex}"
+def follow(spark: SparkSession, path: str, name: str, tenant: int | None = None, files_per_trigger: int = 1) -> str:
+    """Run a watch under a name over all that a log holds now; give the folder of its states.
+
+    The checkpoint and the states stay in the shared folder, so that the next call of the
+    same name goes on where this one ended. Each micro-batch writes the states that
+    changed to a folder of its number; one that is run again writes the same folder anew.
+    """
     at = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    shown = watch(stream_log(spark, path), tenant).writeStream.outputMode("complete").format("memory").queryName(name)
-    running = shown.option("checkpointLocation", at).trigger(availableNow=True).start()
+
+    def keep(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{at}/states/batch={number}")
+
+    states = watch(stream_log(spark, path, files_per_trigger), tenant).writeStream.outputMode("update").foreachBatch(keep)
+    running = states.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     try:
         running.awaitTermination()
     finally:
         running.stop()
-    return spark.table(name).select("id", "seq")
+    return f"{at}/states"
+
+
+def shown(spark: SparkSession, states: str) -> DataFrame:
+    """What a watch shows: of each record the state of its last micro-batch, if alive."""
+    rows = spark.read.schema("tenant long, id long, saved struct<instant:timestamp_ntz,seq:long>, last string, batch long").parquet(states)
+    return living(rows.groupBy("tenant", "id").agg(F.max_by(F.struct("saved", "last"), "batch").alias("s")).select("tenant", "id", "s.*"))
+
+
+def replay(spark: SparkSession, path: str, tenant: int | None = None, name: str | None = None) -> DataFrame:
+    """Run a watch over all that a log holds now, and give what it shows at the end; under a name it goes on from the last call."""
+    return shown(spark, follow(spark, path, name or f"watch_{uuid.uuid4().hex}", tenant)).select("id", "seq")
