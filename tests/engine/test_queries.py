@@ -73,11 +73,11 @@ def test_export_and_compact(spark, tmp_path):
 
 def test_whole_texts_are_searched(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    found = {r.doc_id: r.text for r in QUERIES["normalize_texts"](spark, SF).collect()}
+    found = {r.doc_id: r.text for r in QUERIES["normalize"](spark, SF).collect()}
     assert max(map(len, found.values())) > 60 and {k: len(v.split()) for k, v in found.items()} == {k: len(v.split()) for k, v in docs.items()}
     pad = "\U0010ffff" * 2
     windows = {k: len({f"{pad}{v}{pad}"[i : i + 3] for i in range(len(v) + 2)}) for k, v in found.items()}
-    assert {r.doc_id: r.n_grams for r in QUERIES["gram_count_texts"](spark, SF).collect()} == windows
+    assert {r.doc_id: r.n_grams for r in QUERIES["gram_count"](spark, SF).collect()} == windows
     grams = lambda v: {f"{pad}{v}{pad}"[i : i + 3] for i in range(len(v) + 2)}
     lines = spark.createDataFrame([(k, n, line) for k, v in docs.items() for n, line in enumerate(v.split("\n"))], "doc_id long, at int, line string")
     lines = [(r.doc_id, r.at, grams(r.line)) for r in lines.withColumn("line", normalize(F.col("line"))).collect()]
@@ -90,10 +90,10 @@ def test_whole_texts_are_searched(spark):
         top = sorted((-s, doc, at) for doc, (s, at) in best.items() if s >= 0.25)[:3]
         want += [(item.item_id, doc, round(-s, 9), n) for n, (s, doc, _) in enumerate(top, 1)]
         late += sum(at > 0 for _, _, at in top)
-    assert late and sorted(tuple(r) for r in QUERIES["fuzzy_batch_lines"](spark, SF).collect()) == sorted(want)
+    assert late and sorted(tuple(r) for r in QUERIES["fuzzy_batch"](spark, SF).collect()) == sorted(want)
 
 
 def test_all_customers_are_asked_to_be_removed(spark):
     larger = SF.replace("sf0.001", "sf0.01")
     asked = {r.c_custkey for r in spark.read.parquet(f"{larger}/customer.parquet").select("c_custkey").collect()}
-    assert max(asked) >= 200 and {r.id for r in QUERIES["remove_batch_all"](spark, larger).collect()} == asked
+    assert max(asked) >= 200 and {r.id for r in QUERIES["remove_batch"](spark, larger).collect()} == asked

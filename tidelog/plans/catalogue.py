@@ -197,16 +197,9 @@ def remove_log(spark, d):
     return log.effective_removals(event_log(spark, d)).select("tenant", "id", "seq")
 
 
-@query(f"""WITH {LOG}, ids AS (SELECT c_custkey % 16 AS tenant, c_custkey AS id FROM customer WHERE c_custkey < 200)
-SELECT i.tenant, i.id, coalesce(NOT g.removed, false) AS took_effect FROM ids i LEFT JOIN got g ON g.tenant = i.tenant AND g.id = i.id""")
-def remove_batch(spark, d):
-    asked = table(spark, d, "customer").filter("c_custkey < 200").select((F.col("c_custkey") % 16).alias("tenant"), F.col("c_custkey").alias("id"))
-    return writes.removals(event_log(spark, d), asked)
-
-
 @query(f"""WITH {LOG} SELECT c_custkey % 16 AS tenant, c_custkey AS id, coalesce(NOT g.removed, false) AS took_effect
 FROM customer LEFT JOIN got g ON g.tenant = c_custkey % 16 AND g.id = c_custkey""")
-def remove_batch_all(spark, d):
+def remove_batch(spark, d):
     asked = table(spark, d, "customer").select((F.col("c_custkey") % 16).alias("tenant"), F.col("c_custkey").alias("id"))
     return writes.removals(event_log(spark, d), asked)
 
@@ -475,7 +468,6 @@ MARKED = "".join(text.FOLDS.values())
 NORM = f"trim(regexp_replace(translate(lower({{t}}), '{MARKED}', '{PLAIN}'), '\\s+', ' ', 'g'))"
 for _letter, _two in text.EXPANSIONS.items():
     NORM = f"replace({NORM}, '{_letter}', '{_two}')"
-TITLE = "substr(text, 1, 60)"
 
 
 @query(f"SELECT p_partkey, CAST(levenshtein('smal gear', {NORM.format(t='p_name')}) AS DOUBLE) AS rank FROM part WHERE levenshtein('smal gear', {NORM.format(t='p_name')}) <= 2 ORDER BY rank, p_partkey LIMIT 50")
@@ -499,41 +491,29 @@ def fuzzy_contains(spark, d):
     return fuzzy.fuzzy_search(table(spark, d, "part"), "p_name", "bolt", "contains", 0.3, 40, "p_partkey").select("p_partkey", F.round("rank", 9).alias("rank"))
 
 
-@query(f"""WITH q AS (SELECT item_id, {GRAMS.format(t=NORM.format(t='text'))} AS g FROM benchmark),
-r AS (SELECT doc_id, {GRAMS.format(t=NORM.format(t=TITLE))} AS g FROM documents),
-s AS (SELECT item_id, doc_id, len(list_intersect(q.g, r.g)) / len(list_distinct(list_concat(q.g, r.g))) AS score FROM q, r)
-SELECT item_id, doc_id, round(score, 9) AS score, n FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score >= 0.25) WHERE n <= 3""")
-def fuzzy_batch(spark, d):
-    titles = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"))
-    found = fuzzy.fuzzy_batch(table(spark, d, "benchmark"), titles, ("item_id", "text"), ("doc_id", "title"), 0.25, 3)
-    return found.select("item_id", "doc_id", F.round("score", 9).alias("score"), F.col("n").cast("long").alias("n"))
-
-
-@query(f"SELECT doc_id, {NORM.format(t=TITLE)} AS title FROM documents")
+@query(f"SELECT doc_id, {NORM.format(t='text')} AS text FROM documents")
 def normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize(F.substring("text", 1, 60)).alias("title"))
-
-
-@query(f"SELECT doc_id, len({GRAMS.format(t=NORM.format(t=TITLE))}) AS n_grams FROM documents")
-def gram_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.grams(text.normalize(F.substring("text", 1, 60)))).cast("long").alias("n_grams"))
-
+    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
 
-# the same over whole texts; the queries above keep to the first characters, as their SQL does
 
+# windows of three by shifted lists of characters, since substr() counts from the start of a text
+CHARS = f"string_split(repeat(chr(1114111), 2) || {NORM} || repeat(chr(1114111), 2), '')"
+WINDOWS = "list_distinct(list_transform(list_zip(c[:-3], c[2:-2], c[3:]), lambda x: x[1] || x[2] || x[3]))"
 
-@query(f"SELECT doc_id, {NORM.format(t='text')} AS text FROM documents")
-def normalize_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
 
-
-@query()
-def gram_count_texts(spark, d):
+@query(f"WITH t AS (SELECT doc_id, {CHARS.format(t='text')} AS c FROM documents) SELECT doc_id, len({WINDOWS}) AS n_grams FROM t")
+def gram_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.grams(text.normalize(F.col("text")))).cast("long").alias("n_grams"))
 
 
-@query()
-def fuzzy_batch_lines(spark, d):
+@query(f"""WITH q AS (SELECT item_id, {WINDOWS} AS g FROM (SELECT item_id, {CHARS.format(t='text')} AS c FROM benchmark)),
+lines AS (SELECT doc_id, {NORM.format(t='line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+r AS (SELECT line, {WINDOWS} AS g FROM (SELECT line, string_split(repeat(chr(1114111), 2) || line || repeat(chr(1114111), 2), '') AS c FROM (SELECT DISTINCT line FROM lines))),
+c AS (SELECT item_id, line, any_value(qn) AS qn, any_value(rn) AS rn, count(*) AS b
+      FROM (SELECT line, len(g) AS rn, unnest(g) AS gram FROM r) JOIN (SELECT item_id, len(g) AS qn, unnest(g) AS gram FROM q) USING (gram) GROUP BY item_id, line),
+s AS (SELECT item_id, doc_id, max(b / (qn + rn - b)) AS score FROM c JOIN lines USING (line) WHERE b / (qn + rn - b) >= 0.25 GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, round(score, 9) AS score, n FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s) WHERE n <= 3""")
+def fuzzy_batch(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     found = fuzzy.fuzzy_batch(table(spark, d, "benchmark"), lines, ("item_id", "text"), ("doc_id", "line"), 0.25, 3)
     return found.select("item_id", "doc_id", F.round("score", 9).alias("score"), F.col("n").cast("long").alias("n"))
