@@ -49,9 +49,13 @@ def grams(text: Column, n: int = 3) -> Column:
     if n < 2:
         raise ValueError("grams need n of 2 or more")
     padded = F.concat(F.lit(PAD * (n - 1)), text, F.lit(PAD * (n - 1)))
-    # substring() counts from the start for each window, which takes the square of a text's length
-    parts = [F.regexp_extract_all(padded, F.lit(f"(?s)(.)(?=(.{{{n - 1}}}))"), F.lit(k)) for k in (1, 2)]
-    return F.array_distinct(F.zip_with(*parts, lambda a, b: F.concat(a, b)))
+    # an empty pattern splits into characters; substring() would count from the start for each window
+    letters = F.split(padded, "")
+    windows = F.size(letters) - (n - 1)
+    out = F.slice(letters, 1, windows)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(letters, k, windows), lambda a, b: F.concat(a, b))
+    return F.array_distinct(out)
 
 
 def jaccard(a: Column, b: Column) -> Column:
