@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.functions import hashing, ids, text
+from tidelog.functions import hashing, ids, text, tokens
 
 # Hashes of buf[:n], buf[n] = (131 n) ^ (n >> 3), by default seeds and by seeds 1, 2, 3, 4.
 GOLDEN = [
@@ -110,3 +110,43 @@ def test_native_order_is_the_order_of_encoded_keys(spark):
     encode = lambda r: (r[0] + (1 << 63)).to_bytes(8, "big") + bytes([r[1]]) + r[2].encode() + b"\0"
     got = [tuple(r) for r in spark.createDataFrame(rows, "a long, b boolean, c string").orderBy("a", "b", "c").collect()]
     assert got == sorted(rows, key=encode)
+
+
+def test_successor_is_the_least_key_above_a_prefix(spark):
+    cases = [(b"", None), (b"\xff\xff", None), (b"a", b"b"), (b"a\xff", b"b"), (b"a\xfe\xff\xff", b"a\xff"), (b"\x0f\xf0", b"\x0f\xf1"), (b"\x00", b"\x01"), (None, None)]
+    rows = spark.createDataFrame([(i, None if p is None else bytearray(p)) for i, (p, _) in enumerate(cases)], "i int, p binary")
+    found = {r.i: r.s for r in rows.select("i", ids.successor(F.col("p")).alias("s")).collect()}
+    assert [None if found[i] is None else bytes(found[i]) for i in range(len(cases))] == [s for _, s in cases]
+
+
+def test_keys_of_one_millisecond_differ(spark):
+    rows = spark.range(1000).select(ids.key_nanos(F.lit(1_700_000_000_123_456_789), F.col("id")).alias("k")).collect()
+    assert len({r.k for r in rows}) == 1000 and {r.k // 1_000_000 for r in rows} == {1_700_000_000_123}
+
+
+def test_tokens_are_hmac(spark):
+    import hashlib
+    import hmac
+
+    messages = [b"", b"claims", bytes(range(256)) * 5]
+    for secret in (b"", b"s" * 32, b"s" * 64, b"s" * 65):
+        rows = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(messages)], "i int, m binary")
+        found = {r.i: bytes(r.t) for r in rows.select("i", tokens.sign(F.col("m"), secret).alias("t")).collect()}
+        assert found == {i: m + hmac.new(secret, m, hashlib.sha256).digest() for i, m in enumerate(messages)}
+
+
+def test_token_faults_by_the_first_check_that_fails(spark):
+    good = tokens.sign(F.lit(bytearray(b"c")), b"k")
+    at = lambda token, expires=9, purpose="api": tokens.fault(token, b"k", F.lit(expires), F.lit(purpose), F.lit(5), "api")
+    cut = F.substring(good, F.lit(1), F.lit(31))
+    turned = F.concat(F.lit(bytearray(b"d")), F.substring(good, F.lit(2), F.lit(32)))
+    none = F.lit(None)
+    checks = [at(good), at(cut), at(none.cast("binary")), at(turned, 1, "x"), at(good, 5, "x"), at(good, 6, "x"), tokens.fault(good, b"k", none.cast("long"), F.lit("api"), F.lit(5), "api")]
+    assert list(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()) == [None, "malformed", "malformed", "signature", "expired", "purpose", "malformed"]
+
+
+def test_identities_fold_tags_in_order():
+    words = [hashing.FUNCTION_DOMAIN, 7, 10, 20]
+    assert hashing.compose(7, [10, 20]) == int(hashing.seahash_all([b"".join(w.to_bytes(8, "little") for w in words)])[0])
+    assert hashing.compose(7, [10, 20]) != hashing.compose(7, [20, 10])
+    assert hashing.container(7, 10) != hashing.compose(7, [10])

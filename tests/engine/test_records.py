@@ -230,3 +230,28 @@ def test_census(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
     rows = census(spark.read.parquet(str(tmp_path / "t"))).collect()
     assert len(rows) == 3 and sum(r.rows for r in rows) == 100 and all(r.bytes > 0 and r.blocks == 1 for r in rows)
+
+
+def test_a_drain_stops_at_the_first_fault_of_its_owner(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.operators import navigate
+
+    rows = [(1, 1, "ok"), (1, 2, "conflict"), (1, 3, "fault"), (1, 4, "ok"), (1, 5, "conflict"), (2, 1, "conflict"), (2, 2, "ok"), (None, 1, "ok"), (None, 2, "fault"), (3, 1, None)]
+    queue = spark.createDataFrame(rows, "owner int, at int, kind string")
+    got = navigate.drain(queue, "owner", ["at"], F.col("kind") == "fault", F.col("kind") == "conflict").collect()
+    assert {(r.owner, r.at): r.outcome for r in got} == {
+        (1, 1): "sent", (1, 2): "dropped", (1, 3): "kept", (1, 4): "kept", (1, 5): "kept",
+        (2, 1): "dropped", (2, 2): "sent", (None, 1): "sent", (None, 2): "kept", (3, 1): "sent",
+    }
+
+
+def test_a_union_keeps_the_place_of_first_occurrences(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.operators import setops
+
+    left = spark.createDataFrame([("c", 1), ("a", 2), ("c", 3)], "id string, at int")
+    right = spark.createDataFrame([("b", 1), ("a", 2), ("d", 3), ("b", 4)], "id string, at int")
+    got = setops.union_in_order(left, right, "id", F.col("at")).orderBy("n").collect()
+    assert [(r.id, r.n) for r in got] == [("c", 1), ("a", 2), ("b", 3), ("d", 4)]

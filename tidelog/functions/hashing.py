@@ -13,6 +13,9 @@ from tidelog.shipping import ship
 MULTIPLIER = 0x6EED0E9DA4D94A4F
 SEEDS = (0x16F11FE89B0D677C, 0xB480A793D8E6C86C, 0x6FE2E5AAF078EBC9, 0x14F994A4C5259381)
 DEFAULT_SHARDS = 64
+# Fixed values that keep the identities of functions and of containers apart.
+FUNCTION_DOMAIN = 0xF7A511D30C4B9E21
+CONTAINER_DOMAIN = 0xC017A1E55D0C7A9B
 
 
 def _diffuse(x: np.ndarray) -> np.ndarray:
@@ -100,3 +103,21 @@ def struct_hash(name: str, shape: str, fields: list[tuple[str, str]], seeds: tup
     """The identity of a record type: a change of any field is another type."""
     spelled = "|".join([name, shape, *(f"{f}:{kind}" for f, kind in fields)])
     return int(seahash_all([spelled.encode()], seeds)[0])
+
+
+def _fold(*words: int) -> int:
+    return int(seahash_all([np.array(words, dtype="<u8").tobytes()])[0])
+
+
+def compose(seed: int, parts: list[int]) -> int:
+    """The identity of a function: the hash of its name, then the tags of its arguments and of its result, in order."""
+    return _fold(FUNCTION_DOMAIN, seed, *parts)
+
+
+def container(kind: int, element: int) -> int:
+    """The tag of a container of elements of a tag."""
+    return _fold(CONTAINER_DOMAIN, kind, element)
+
+
+def text_hash(text: str) -> int:
+    return int(seahash_all([text.encode()])[0])

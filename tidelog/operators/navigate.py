@@ -83,3 +83,17 @@ def offline_replay(events: DataFrame) -> DataFrame:
     queued = events.filter("event_type = 'click'").join(node, F.col("user_id") == F.col("_u"), "left")
     taken = queued.filter(F.col("_node").isNull() | (F.col("ts") > F.col("_node")))
     return taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_replayed"), F.max_by("value", "ts").alias("last_value"))
+
+
+def drain(queue: DataFrame, owner: str, order: list[str], fault: Column, conflict: Column) -> DataFrame:
+    """The queue with the ``outcome`` of one drain: first in, first out, up to the owner's first transport fault.
+
+    What comes before that is sent, or dropped where the node refuses it as a conflict; the
+    entry that met the fault and all behind it are kept. The place of the fault is an
+    aggregate by owner, so that no owner's queue is gathered.
+    """
+    place = F.struct(*order)
+    stops = queue.filter(fault).groupBy(F.col(owner).alias("_owner")).agg(F.min(place).alias("_stop"))
+    joined = queue.join(stops, F.col(owner).eqNullSafe(F.col("_owner")), "left")
+    outcome = F.when(place >= F.col("_stop"), "kept").when(F.coalesce(conflict, F.lit(False)), "dropped").otherwise("sent")
+    return joined.withColumn("outcome", outcome).drop("_owner", "_stop")

@@ -39,6 +39,10 @@ class Bound:
         """Leading fields equal, and the last given one, if a string, a prefix of the column."""
         return cls("prefix", values)
 
+    def least(self) -> tuple:
+        """Where a scan of the bound starts: its lowest key, or as much of it as the bound tells."""
+        return self.low
+
     def condition(self, fields: list[str]) -> Column:
         if self.kind == "all":
             return F.lit(True)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidelog.operators.order import ranked
 
 
 def intersect(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -16,3 +19,10 @@ def except_(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def union(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Ids of either side, each once."""
     return left.select(on).union(right.select(on)).dropDuplicates([on])
+
+
+def union_in_order(left: DataFrame, right: DataFrame, on: str, order: Column, to: str = "n") -> DataFrame:
+    """Ids of the left in its order, then those of the right, each where it first occurs, numbered from 1."""
+    sides = [rows.select(on, F.struct(F.lit(side).alias("side"), order.alias("at")).alias("_first")) for side, rows in enumerate((left, right))]
+    firsts = sides[0].union(sides[1]).groupBy(on).agg(F.min("_first").alias("_first"))
+    return ranked(firsts, [F.col("_first"), F.col(on)], to).drop("_first")

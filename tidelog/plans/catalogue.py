@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions import hashing, ids, text
+from tidelog.functions import hashing, ids, text, tokens
 from tidelog.operators import changes, fuzzy, log, navigate, order, setops, writes
 from tidelog.operators.order import Bound
 from tidelog.sources.tables import table
@@ -55,6 +55,43 @@ got AS (SELECT s.*, r.op = 'removed' AS removed FROM last_saved s JOIN last_row
 live AS (SELECT * FROM got WHERE NOT removed),
 dead AS (SELECT * FROM seen WHERE op = 'removed' AND before = 'saved')
 """
+#: The secrets of the token queries; the second one signs what must be refused.
+SECRETS = (b"a secret of the node", b"a secret of another node, longer than a block of the hash: it is hashed before it pads the message")
+
+
+def mac_sql(message: str, secret: bytes) -> str:
+    inner, outer = (p.hex() for p in tokens.pads(secret))
+    return f"unhex(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message}))))"
+
+
+def little_endian_sql(value: str, width: int) -> str:
+    return "(" + " || ".join(f"substr(printf('%016X', {value}), {15 - 2 * k}, 2)" for k in range(width)) + ")"
+
+
+def seahash_sql(key: str, digits: str, source: str, select: str) -> str:
+    """SQL of the hash of each row's bytes, given as hex digits: ``h`` unsigned, ``signed`` the same bits as a long."""
+    mask, times = "18446744073709551615::UHUGEINT", f"{hashing.MULTIPLIER}::UHUGEINT"
+    word = " || ".join(f"substr(w, {15 - 2 * k}, 2)" for k in range(8))
+    mixed = f"((xor(y, (y >> 32::UHUGEINT) >> (y >> 60::UHUGEINT)) * {times}) & {mask})"
+    start = ", ".join(f"{v}::UHUGEINT" for v in hashing.SEEDS)
+    return f"""WITH RECURSIVE keys AS (SELECT {key} AS k, {digits} AS x FROM {source}),
+lanes(k, x, i, a, b, c, d) AS (
+  SELECT k, x, 0, {start} FROM keys
+  UNION ALL
+  SELECT k, x, i + 1, b, c, d, {mixed}
+  FROM (SELECT *, (xor(a, ('0x' || {word})::UBIGINT::UHUGEINT) * {times}) & {mask} AS y
+        FROM (SELECT *, rpad(substr(x, 16 * i + 1, 16), 16, '0') AS w FROM lanes WHERE 16 * i < length(x)))),
+hashed AS (
+  SELECT k, {mixed} AS h
+  FROM (SELECT k, (xor(xor(xor(xor(a, b), c), d), (length(x) // 2)::UHUGEINT) * {times}) & {mask} AS y FROM lanes WHERE 16 * i >= length(x))),
+hashes AS (SELECT k, h, CASE WHEN h >= 9223372036854775808::UHUGEINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS signed FROM hashed)
+{select}"""
+
+
+def wire_sql(value: str) -> str:
+    return f"({little_endian_sql(f'strlen({value})', 4)} || hex(encode({value})))"
+
+
 T0 = "timestamp_ntz'2024-01-20 00:00:00'"
 
 
@@ -383,6 +420,13 @@ def ids_union(spark, d):
     return setops.union(table(spark, d, "labels"), table(spark, d, "documents").filter("lang = 'en'"), "doc_id")
 
 
+@query("""WITH firsts AS (SELECT doc_id, min((side, place)) AS first FROM (
+  SELECT doc_id, 0 AS side, doc_id % 1000 AS place FROM labels UNION ALL SELECT doc_id, 1, doc_id % 1000 FROM documents WHERE lang = 'en') GROUP BY doc_id)
+SELECT doc_id, row_number() OVER (ORDER BY first, doc_id) AS n FROM firsts""")
+def ids_union_ordered(spark, d):
+    return setops.union_in_order(table(spark, d, "labels"), table(spark, d, "documents").filter("lang = 'en'"), "doc_id", F.col("doc_id") % 1000)
+
+
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def ids_except(spark, d):
     return setops.except_(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").filter("lang = 'en'"), "doc_id")
@@ -539,19 +583,26 @@ def archive_id(spark, d):
     return table(spark, d, "orders").select("o_orderkey", made.alias("i")).select("o_orderkey", "i.*")
 
 
-@query()
+@query(seahash_sql("c_custkey", f"{wire_sql('c_name')} || {wire_sql('c_mktsegment')}", "customer", "SELECT k AS c_custkey, signed AS key FROM hashes"))
 def seahash_key(spark, d):
     return table(spark, d, "customer").select("c_custkey", hashing.natural_key(F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@query()
+@query(
+    seahash_sql(
+        "o_orderkey",
+        f"{little_endian_sql('o_orderkey', 8)} || {little_endian_sql('o_custkey % 32768', 2)}",
+        "orders",
+        f"SELECT CAST(h % {hashing.DEFAULT_SHARDS}::UHUGEINT AS INTEGER) AS shard, count(*) AS n FROM hashes GROUP BY shard",
+    )
+)
 def placement_histogram(spark, d):
     owner = hashing.collection_owner(F.col("o_orderkey"), F.lit(0), F.col("o_custkey") % 32768)
     placed = table(spark, d, "orders").select(hashing.shard(owner).alias("shard"))
     return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(seahash_sql("c_custkey", f"hex(encode('recency')) || {little_endian_sql('c_custkey', 8)}", "customer", "SELECT k AS c_custkey, signed AS lane FROM hashes"))
 def lane_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", hashing.lane("recency", F.col("c_custkey")).alias("lane"))
 
@@ -561,6 +612,36 @@ def sha256_token(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.sha2("c_name", 256).alias("token_sha256"))
 
 
+@query("SELECT o_orderkey, o_orderkey * 777777 // 1000000 * 1000000 + (row_number() OVER (ORDER BY o_orderkey) - 1) % 1000000 AS key FROM orders")
+def key_nanos(spark, d):
+    counted = order.ranked(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")])
+    return counted.select("o_orderkey", ids.key_nanos(F.col("o_orderkey") * 777777, F.col("n") - 1).alias("key"))
+
+
+@query("""WITH p AS (SELECT p_partkey, regexp_extract(upper(substr(md5(p_name), 1, 8)), '^((?:..)*?)(?:FF)*$', 1) AS kept FROM part)
+SELECT p_partkey, CASE WHEN kept <> '' THEN substr(kept, 1, length(kept) - 2) || printf('%02X', ('0x' || right(kept, 2))::INTEGER + 1) END AS above FROM p""")
+def prefix_successor(spark, d):
+    prefix = F.unhex(F.substring(F.md5("p_name"), 1, 8))
+    return table(spark, d, "part").select("p_partkey", F.hex(ids.successor(prefix)).alias("above"))
+
+
+@query(f"SELECT c_custkey, hex(encode(c_name) || {mac_sql('encode(c_name)', SECRETS[0])}) AS token FROM customer")
+def token_sign(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.hex(tokens.sign(F.encode("c_name", "UTF-8"), SECRETS[0])).alias("token"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'malformed' WHEN c_custkey % 5 = 0 THEN 'signature'
+WHEN c_nationkey <= 4 THEN 'expired' WHEN c_mktsegment <> 'BUILDING' THEN 'purpose' END AS fault FROM customer""")
+def token_verify(spark, d):
+    claims = F.encode(F.concat_ws("|", "c_nationkey", "c_mktsegment"), "UTF-8")
+    signed = F.when(F.col("c_custkey") % 5 == 0, tokens.sign(claims, SECRETS[1])).otherwise(tokens.sign(claims, SECRETS[0]))
+    sent = F.when(F.col("c_custkey") % 7 == 0, F.substring(signed, F.lit(1), F.lit(tokens.MAC_BYTES - 1))).otherwise(signed)
+    held = table(spark, d, "customer").select("c_custkey", sent.alias("token"))
+    told = F.split(F.decode(tokens.claims_of(F.col("token")), "UTF-8"), "[|]", 2)
+    read = held.withColumns({"expires": F.get(told, 0).try_cast("long"), "purpose": F.get(told, 1)})
+    return read.select("c_custkey", tokens.fault(F.col("token"), SECRETS[0], F.col("expires"), F.col("purpose"), F.lit(4), "BUILDING").alias("fault"))
+
+
 # applications
 
 
@@ -607,6 +688,13 @@ def offline_replay(spark, d):
     return navigate.offline_replay(table(spark, d, "events"))
 
 
+@query("""WITH s AS (SELECT *, min(CASE WHEN event_type = 'error' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS stop FROM events)
+SELECT event_id, CASE WHEN stop IS NOT NULL AND (ts, event_id) >= stop THEN 'kept' WHEN event_type = 'signup' THEN 'dropped' ELSE 'sent' END AS outcome FROM s""")
+def offline_drain(spark, d):
+    queue = table(spark, d, "events")
+    return navigate.drain(queue, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup").select("event_id", "outcome")
+
+
 @query(f"WITH {LOG} SELECT id, seq FROM live WHERE tenant = 3")
 def watch_stream(spark, d):
     from tidelog.streaming.watch import replay

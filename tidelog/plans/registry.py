@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -10,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.hashing import compose, text_hash
 from tidelog.sources.tables import table
 
 
@@ -38,8 +38,11 @@ class Registry:
         return add if f is None else add(f)
 
     def identity(self, name: str) -> str:
-        """A digest of the name and the arguments: another signature is another function."""
-        return hashlib.sha256(f"{name}{inspect.signature(self.functions[name])}".encode()).hexdigest()
+        """A hash of the name, the arguments' types in order and the result's: another signature is another function."""
+        signature = inspect.signature(self.functions[name])
+        kinds = [p.annotation for p in signature.parameters.values()] + [signature.return_annotation]
+        tags = [text_hash(k if isinstance(k, str) else getattr(k, "__name__", str(k))) for k in kinds]
+        return f"{compose(text_hash(name), tags):016x}"
 
     def call(self, name: str, *args, login: bool = True, fallback: Callable | None = None):
         if name in self.never or name not in self.functions or not (login or name in self.public):
