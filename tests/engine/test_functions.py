@@ -30,6 +30,13 @@ def test_seahash_golden():
     assert hashing.seahash_all([b"to be or not to be"]).tolist() == [1988685042348123509]
 
 
+def test_seahash_of_mixed_lengths_is_that_of_each():
+    rng = random.Random(3)
+    values = [rng.randbytes(n) for n in [0, 1, 7, 8, 9, 16, 17, 100_000, 5, 64, 65, 0, 3000] + [rng.randrange(40) for _ in range(500)]]
+    assert hashing.seahash_all(values).tolist() == [int(hashing.seahash_all([v])[0]) for v in values]
+    assert hashing.seahash_all([]).tolist() == []
+
+
 def test_placement_golden(spark):
     owners = spark.range(1).select(
         hashing.collection_owner(F.lit(1787000000000000123), F.lit(0), F.lit(0x1234)).alias("a"),

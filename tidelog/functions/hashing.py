@@ -25,13 +25,25 @@ def _diffuse(x: np.ndarray) -> np.ndarray:
 
 
 def seahash_all(values: list[bytes], seeds: tuple[int, int, int, int] = SEEDS) -> np.ndarray:
-    """The hash of each value, as uint64: eight bytes of all values at a time."""
-    n = len(values)
-    sizes = np.array([len(v) for v in values], dtype=np.int64)
-    words = int(-(-sizes.max(initial=0) // 8))
+    """The hash of each value, as uint64.
+
+    Values of like lengths are hashed together and padded to at most twice their own, so
+    that one long value takes no more room than its own bytes do.
+    """
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    like = np.frexp(-(-sizes // 8))[1]
+    out = np.empty(len(values), dtype=np.uint64)
+    for length in np.unique(like):
+        at = np.flatnonzero(like == length)
+        out[at] = _seahash_padded([values[i] for i in at], sizes[at], seeds)
+    return out
+
+
+def _seahash_padded(values: list[bytes], sizes: np.ndarray, seeds: tuple[int, int, int, int]) -> np.ndarray:
+    """Eight bytes of all values at a time."""
+    n, words = len(values), int(-(-sizes.max(initial=0) // 8))
     raw = np.zeros((n, max(1, words) * 8), dtype=np.uint8)
-    for i, v in enumerate(values):
-        raw[i, : len(v)] = np.frombuffer(v, dtype=np.uint8)
+    raw[np.arange(raw.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(values), dtype=np.uint8)
     blocks = raw.view("<u8")
     lanes = [np.full(n, s, dtype=np.uint64) for s in seeds]
     with np.errstate(over="ignore"):
