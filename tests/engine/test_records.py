@@ -255,3 +255,26 @@ def test_a_union_keeps_the_place_of_first_occurrences(spark):
     right = spark.createDataFrame([("b", 1), ("a", 2), ("d", 3), ("b", 4)], "id string, at int")
     got = setops.union_in_order(left, right, "id", F.col("at")).orderBy("n").collect()
     assert [(r.id, r.n) for r in got] == [("c", 1), ("a", 2), ("b", 3), ("d", 4)]
+
+
+def test_a_token_that_comes_again_revokes_its_session(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.operators import sessions
+
+    rows = [(1, 1, "0", True), (1, 2, "1", True), (1, 3, "9", False), (1, 4, "2", True), (1, 5, "1", True), (1, 6, "3", True), (2, 1, "1", True), (2, 2, "0", True), (3, 1, None, True), (3, 2, "0", True), (None, 1, "0", True)]
+    presented = spark.createDataFrame(rows, "s int, at int, t string, ok boolean")
+    got = sessions.rotate(presented, "s", ["at"], F.col("t"), lambda g: g.cast("string"), F.col("ok")).collect()
+    assert {(r.s, r.at): r.outcome for r in got} == {
+        (1, 1): "rotated", (1, 2): "rotated", (1, 3): "refused", (1, 4): "rotated", (1, 5): "revoked", (1, 6): "refused",
+        (2, 1): "revoked", (2, 2): "refused", (3, 1): "refused", (3, 2): "rotated", (None, 1): "rotated",
+    }
+
+
+def test_idle_polls_back_off_to_a_ceiling():
+    from tidelog.streaming.watch import polled
+
+    waits, answers = [], iter([[], [], ["a"], [], [], [], [], [], [], ["b"]])
+    got = polled(lambda: next(answers), 2.0, waits.append)
+    assert [next(got), next(got)] == [["a"], ["b"]]
+    assert waits == [4.0, 8.0, 2.0, 4.0, 8.0, 16.0, 32.0, 32.0, 32.0]

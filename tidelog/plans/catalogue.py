@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import hashing, ids, text, tokens
-from tidelog.operators import changes, fuzzy, log, navigate, order, setops, writes
+from tidelog.operators import changes, fuzzy, log, navigate, order, sessions, setops, writes
 from tidelog.operators.order import Bound
 from tidelog.sources.tables import table
 
@@ -682,6 +682,17 @@ def session_refresh(spark, d):
     return navigate.session_refresh(table(spark, d, "events"))
 
 
+@query("""WITH n AS (SELECT *, event_id % 2 AS generation, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'error'),
+s AS (SELECT *, min(CASE WHEN generation <> n - 1 THEN n END) OVER (PARTITION BY user_id) AS stop FROM n)
+SELECT event_id, CASE WHEN n > stop THEN 'refused' WHEN n = stop THEN 'revoked' ELSE 'rotated' END AS outcome FROM s
+UNION ALL SELECT event_id, 'refused' FROM events WHERE event_type = 'error'""")
+def session_rotation(spark, d):
+    minted = lambda generation: tokens.sign(F.encode(F.concat_ws("|", F.col("user_id"), generation), "UTF-8"), SECRETS[0])
+    presented = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    judged = sessions.rotate(presented, "user_id", ["ts", "event_id"], minted(F.col("event_id") % 2), minted, F.col("event_type") != "error")
+    return judged.select("event_id", "outcome")
+
+
 @query("""WITH q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id) AS node FROM events)
 SELECT user_id, count(*) AS n_replayed, arg_max(value, ts) AS last_value FROM q WHERE event_type = 'click' AND (node IS NULL OR ts > node) GROUP BY user_id""")
 def offline_replay(spark, d):

@@ -7,13 +7,18 @@ delivery harmless. A watch that has read all of a log shows the same as the batc
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.lineage import checkpoint_dir
 
+# An empty poll makes the wait so many times longer, up to so many times the base.
+IDLE_GROWTH, MAX_IDLE_FACTOR = 2, 16
+
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Rows of a Parquet log as they arrive, as (tenant, id, instant, seq, op)."""
@@ -84,3 +89,15 @@ def shown(spark: SparkSession, states: str) -> DataFrame:
 def replay(spark: SparkSession, path: str, tenant: int | None = None, name: str | None = None) -> DataFrame:
     """Run a watch over all that a log holds now, and give what it shows at the end; under a name it goes on from the last call."""
     return shown(spark, follow(spark, path, name or f"watch_{uuid.uuid4().hex}", tenant)).select("id", "seq")
+
+
+def polled(poll: Callable[[], list], base: float, wait: Callable[[float], object] = time.sleep) -> Iterator[list]:
+    """The answers of a poll that are not empty, without end; the wait grows while nothing comes and is ``base`` seconds after an answer."""
+    interval = base
+    while True:
+        if answer := poll():
+            interval = base
+            yield answer
+        else:
+            interval = min(interval * IDLE_GROWTH, base * MAX_IDLE_FACTOR)
+        wait(interval)
