@@ -211,16 +211,19 @@ def test_numbers_and_instants_of_one_large_tenant(spark):
 
 
 def test_a_watch_goes_on_where_it_ended(spark, tmp_path):
+    import uuid
+
     from tidelog.streaming.watch import replay
 
     log = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id) as ts, id as event_id, id % 40 as user_id, if(id % 7 = 0, 'error', 'view') as event_type from range(600)")
     folder = str(tmp_path / "log")
+    name = f"test_{uuid.uuid4().hex}"  # the checkpoint folder may outlive a run
     shown = lambda rows: sorted({r.user_id: r.event_id for r in sorted(rows.collect(), key=lambda r: r.event_id) if r.event_type != "error"}.items())
     alive = lambda rows: {r.user_id for r in rows.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).filter("last <> 'error'").collect()}
     for low, high in ((0, 300), (300, 600)):
         log.filter((F.col("event_id") >= low) & (F.col("event_id") < high)).repartition(3).write.mode("append").parquet(folder)
         read = log.filter(F.col("event_id") < high)
-        got = sorted(tuple(r) for r in replay(spark, folder, name=f"test_{tmp_path.name}").collect())
+        got = sorted(tuple(r) for r in replay(spark, folder, name=name).collect())
         assert got == [x for x in shown(read) if x[0] in alive(read)]
 
 
