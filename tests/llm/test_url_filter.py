@@ -100,3 +100,56 @@ def test_rules_of_four_tokens_are_kept(spark):
     urls = [(f"http://{a}.{b}.org/{c}/{i}?{q}=1", (a, b, c, q) == ("ab", "x", "p", "k")) for i, (a, b, c, q) in enumerate(itertools.product(["ab", "cd"], ["x", "y"], ["p", "r"], ["k", "m"])) for _ in range(10)]
     mined = U.mine_rules(spark.createDataFrame(urls, "url string, bad boolean"), 0.05, 0.8)
     assert mined == [(("host:ab", "host:x", "path:p", "query:k"), 1.0)]
+
+
+def test_rules_below_the_raised_support_are_found(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        tokens = [t for t in "abcd" if rng.random() < 0.5]
+        rare = i % 57 == 0
+        rows.append((f"http://h{i % 3}.org/{'/'.join(tokens)}{'/rare/twin' if rare else ''}", rare or {"a", "b", "c"} <= set(tokens) or rng.random() < 0.05))
+    frame = spark.createDataFrame(rows, "url string, bad boolean")
+    known = [(set(r.t), r.bad) for r in frame.select(U.url_tokens(F.col("url")).alias("t"), "bad").collect()]
+    items = sorted(set().union(*(t for t, _ in known)))
+    rules = {}
+    for size in range(1, len(items) + 1):
+        for combo in itertools.combinations(items, size):
+            own = [bad for t, bad in known if set(combo) <= t]
+            if sum(own) >= 5 and sum(own) / len(own) >= 0.8:
+                rules[combo] = (sum(own), len(own))
+    rate = sum(bad for _, bad in known) / len(known)
+    for chance, table_rows in ((1e9, 5), (0.01, None)):
+        found = {t: h / n for t, (h, n) in rules.items() if U._tail(h, n, rate) * len(rules) <= chance}
+        want = {t: c for t, c in found.items() if not any(found.get(p, -1) >= c for k in range(1, len(t)) for p in itertools.combinations(t, k))}
+        mined = U.mine_rules(frame, 0.0125, 0.8, 5, chance, max_sets=300, **({"table_rows": table_rows} if table_rows else {}))
+        assert dict(mined) == want and {("path:rare",), ("path:twin",), ("path:a", "path:b", "path:c")} <= want.keys()
+
+
+def test_growth_counts_every_combination_once():
+    rng = random.Random(6)
+    for _ in range(60):
+        table = {}
+        for _ in range(rng.randint(1, 12)):
+            items = tuple(t for t in range(6) if rng.random() < 0.6)
+            table[tuple(sorted({*items, *((7, 8) if 1 in items else ()), 9}))] = (rng.randint(0, 3), rng.randint(0, 2))
+        rows = [(list(items), bad, bad + good or 1) for items, (bad, good) in table.items()]
+        least, below, confidence = rng.randint(1, 4), rng.randint(4, 12), rng.choice([0.1, 0.5, 0.8])
+        want = {}
+        for size in range(10):
+            for combo in itertools.combinations([*range(6), 7, 8, 9], size):
+                own = [(h, n) for items, h, n in rows if set(combo) <= set(items)]
+                h, n = sum(x for x, _ in own), sum(x for _, x in own)
+                if least <= h < below and h / n >= confidence:
+                    want[combo] = (h, n)
+        got = list(U.grow(rows, least, below, confidence))
+        assert sum(w for *_, w in got) == len(want)
+        spelt = [(tuple(sorted(x)), (h, n)) for units, h, n, _ in got if h for x in itertools.product(*units)]
+        assert len(dict(spelt)) == len(spelt) and dict(spelt).items() <= want.items()
+
+
+def test_very_many_alike_tokens_are_not_spelt_out(spark):
+    path = "/".join(f"w{k}" for k in range(60))
+    rows = [(f"http://h{i % 5}.org/{path if i % 10 == 0 else 'x'}/{i}", i % 10 == 0) for i in range(500)]
+    mined = U.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.02, 0.8, 5, chance=1e30)
+    assert mined == sorted(((f"path:w{k}",), 1.0) for k in range(60))
